@@ -14,14 +14,15 @@ NO_SUMMARY = "Sin resumen"
 NO_YEAR = "2024"
 # -------------------------------------------------------------------------------------
 
+FILES = "*.[bB][iI][bB]"
 ENTRY = r"^\s*@?\w+\s*\{"
 
 
-def read_entries(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def read_entries(spark: SparkSession, paths: str | Sequence[str], pattern: str = FILES) -> DataFrame:
     """One row per entry: (entry, archivo, ingest_ord). Files are split, not read whole."""
     return (
         spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.[bB][iI][bB]")
+        .option("pathGlobFilter", pattern)
         .option("lineSep", "\n@")
         .text(paths)
         .select(
@@ -53,13 +54,15 @@ def rejected_entries(spark: SparkSession, paths: str | Sequence[str]) -> DataFra
     )
 
 
-def read_bibtex_exports(spark: SparkSession, paths: str | Sequence[str], drop_braces: bool = True) -> DataFrame:
+def read_bibtex_exports(
+    spark: SparkSession, paths: str | Sequence[str], drop_braces: bool = True, pattern: str = FILES
+) -> DataFrame:
     """All BibTeX exports under ``paths`` as unified records.
 
     A field that no entry of a file has gets its fixed text in that file; a field that only
     some entries lack is null there. A missing DOI gives an empty link (deviation).
     """
-    entries = read_entries(spark, paths).where(F.col("entry").rlike(ENTRY))
+    entries = read_entries(spark, paths, pattern).where(F.col("entry").rlike(ENTRY))
     get = lambda name: field_value(F.col("entry"), name, drop_braces)
     fields = entries.select(
         get("title").alias("title"),
