@@ -85,12 +85,12 @@ def pairs_in_order(words: Column, sep: str = " ") -> Column:
     return F.filter(both, lambda p: p.isNotNull())
 
 
-def has_any_word(col: str | Column, words: Sequence[str]) -> Column:
-    """True when the lower-cased text contains one of ``words`` anywhere; null gives false.
+def has_any_word(lowered: str | Column, words: Sequence[str]) -> Column:
+    """True when a lower-cased text contains one of ``words`` anywhere; null gives false.
 
     Matching is by substring, so "machine learning" counts for "learning" (kept on purpose).
     """
-    text = F.lower(as_col(col))
+    text = as_col(lowered)
     hit = F.lit(False)
     for word in words:
         hit = hit | text.contains(word)

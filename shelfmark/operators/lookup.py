@@ -56,7 +56,8 @@ def flag_category(
     df: DataFrame, col: str = "summary", words: Sequence[str] = EDUCATION_WORDS, name: str = "is_education"
 ) -> DataFrame:
     """Add a flag: does the text contain one of ``words``?"""
-    return df.withColumn(name, has_any_word(col, words))
+    lowered = df.select("*", F.lower(col).alias("_low"))
+    return lowered.select(*[c for c in df.columns if c != name], has_any_word("_low", words).alias(name))
 
 
 def flagged(df: DataFrame, flag: str = "is_education", cols: Sequence[str] = ("title", "authors")) -> DataFrame:

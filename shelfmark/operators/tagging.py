@@ -19,9 +19,12 @@ def country_of(col: str | Column, countries: Mapping[str, Sequence[str]] = COUNT
     purpose); ``mode="word"`` asks for a word boundary at both ends. One CASE per row that
     stops at the first hit: no join and no shuffle.
     """
+    return _country_in(F.lower(as_col(col)), countries, mode)
+
+
+def _country_in(text: Column, countries: Mapping[str, Sequence[str]], mode: str) -> Column:
     if mode not in ("substring", "word"):
         raise ValueError("mode is 'substring' or 'word'")
-    text = F.lower(as_col(col))
     tag = None
     for country, variants in countries.items():
         if mode == "substring":
@@ -39,8 +42,14 @@ def tag_country(
     mode: str = "substring",
     name: str = "country",
 ) -> DataFrame:
-    """Add the country found in the first of ``cols`` that has one."""
-    return df.withColumn(name, F.coalesce(*[country_of(c, countries, mode) for c in cols]))
+    """Add the country found in the first of ``cols`` that has one.
+
+    The lower-cased texts are columns of their own first: inside the CASE they would be
+    computed again for every variant.
+    """
+    lowered = df.select("*", *[F.lower(c).alias(f"_low_{c}") for c in cols])
+    tags = [_country_in(F.col(f"_low_{c}"), countries, mode) for c in cols]
+    return lowered.select(*[c for c in df.columns if c != name], F.coalesce(*tags).alias(name))
 
 
 def country_counts(df: DataFrame, k: int | None = None, col: str = "country") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.functions.text import word_runs
 from shelfmark.functions.vocab import cloud_stop_words
+from shelfmark.session import cut
 
 
 def term_counts(df: DataFrame, col: str = "summary", min_len: int = 6) -> DataFrame:
@@ -38,30 +39,33 @@ def cloud_tokens(df: DataFrame, col: str = "summary", stop: Sequence[str] | None
     return words.groupBy("term").agg(F.count("*").alias("n"))
 
 
-def _fold_plurals(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add the count of ``...xs`` to ``...x`` where both occur; ``...ss`` is no plural.
+NUMBER = r"^\p{Nd}+$"
 
-    The last of ``keys`` is the word that carries the plural. Both sides hold one row per
-    term, so the join has no hot key.
-    """
-    *lead, last = keys
-    is_plural = F.col(last).endswith("s") & ~F.col(last).endswith("ss")
-    stem = F.expr(f"substring({last}, 1, length({last}) - 1)")
-    singular = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.lit(True).alias("_found"))
-    on = [F.when(is_plural, stem) == F.col(f"_{last}")] + [F.col(k) == F.col(f"_{k}") for k in lead]
-    folded = counts.join(singular, on, "left").select(
-        *lead, F.when(F.col("_found"), stem).otherwise(F.col(last)).alias(last), "n"
-    )
-    return folded.groupBy(*keys).agg(F.sum("n").alias("n"))
 
+def _names(df: DataFrame, col: str, stop: Sequence[str], fold_plurals: bool) -> DataFrame:
+    """(word, counted, n): every word but numbers, and the word it is counted under.
 
-def _is_number(col: str) -> Column:
-    return F.col(col).rlike(r"^\p{Nd}+$")
+    ``...xs`` counts under ``...x`` where both occur; ``...ss`` is no plural. Both sides of
+    the join hold a word once, so it has no hot key. The result has the size of the
+    vocabulary and is read several times, so it is written once.
+    """
+    words = cloud_tokens(df, col, stop).where(~F.col("term").rlike(NUMBER))
+    if not fold_plurals:
+        return cut(words.select(F.col("term").alias("word"), F.col("term").alias("counted"), "n"))
+    words = cut(words)
+    is_plural = F.col("term").endswith("s") & ~F.col("term").endswith("ss")
+    stem = F.when(is_plural, F.expr("substring(term, 1, length(term) - 1)"))
+    singular = words.select(F.col("term").alias("counted"))
+    plural = words.select("term", "n", stem.alias("stem"))
+    return cut(
+        plural.join(singular, F.col("stem") == F.col("counted"), "left").select(
+            F.col("term").alias("word"), F.coalesce("counted", "term").alias("counted"), "n"
+        )
+    )
 
 
-def _unigrams(df: DataFrame, col: str, stop: Sequence[str], fold: bool) -> DataFrame:
-    counts = cloud_tokens(df, col, stop).where(~_is_number("term"))
-    return _fold_plurals(counts, ["term"]) if fold else counts
+def _counted(names: DataFrame) -> DataFrame:
+    return names.groupBy(F.col("counted").alias("term")).agg(F.sum("n").alias("n"))
 
 
 def _log_likelihood(k: Column, n: Column, p: Column) -> Column:
@@ -70,76 +74,77 @@ def _log_likelihood(k: Column, n: Column, p: Column) -> Column:
     return k * F.log(F.greatest(p, tiny)) + (n - k) * F.log(F.greatest(1 - p, tiny))
 
 
-def collocations(
-    df: DataFrame,
-    col: str = "summary",
-    stop: Sequence[str] | None = None,
-    min_score: float = 30.0,
-    fold_plurals: bool = True,
-) -> DataFrame:
-    """(word1, word2, n, score): neighbouring words that occur together more than by chance.
+def _collocation_score(total: float) -> Column:
+    """Dunning's log-likelihood ratio of the pair count ``n`` against the counts c1 and c2."""
+    c12, c1, c2 = (F.col(c).cast("double") for c in ("n", "c1", "c2"))
+    n = F.lit(total)
+    p, p1, p2 = c2 / n, c12 / c1, (c2 - c12) / (n - c1)
+    ratio = (
+        _log_likelihood(c12, c1, p)
+        + _log_likelihood(c2 - c12, n - c1, p)
+        - _log_likelihood(c12, c1, p1)
+        - _log_likelihood(c2 - c12, n - c1, p2)
+    )
+    return F.when((n <= c1) | (n <= c2), F.lit(0.0)).otherwise(-2 * ratio)
 
-    The score is Dunning's log-likelihood ratio against the single-word counts. Words are
-    neighbours after numbers and stop words are taken out, within one document (deviation:
-    no pair spans two documents).
-    """
-    stop = cloud_stop_words() if stop is None else stop
-    words = F.filter(_cloud_words(col, stop), lambda w: ~w.rlike(r"^\p{Nd}+$"))
-    seq = df.select(words.alias("w"))
+
+def _word_pairs(df: DataFrame, col: str, stop: Sequence[str]) -> DataFrame:
+    """(word1, word2, n) of neighbouring words, numbers and stop words taken out first."""
+    words = F.filter(_cloud_words(col, stop), lambda w: ~w.rlike(NUMBER))
     pair = F.zip_with(
-        "w",
-        F.slice("w", F.lit(2), F.size("w")),
+        "w", F.slice("w", F.lit(2), F.size("w")),
         lambda a, b: F.when(b.isNotNull(), F.struct(a.alias("word1"), b.alias("word2"))),
     )
-    bigrams = (
-        seq.select(F.explode(pair).alias("p"))
+    return (
+        df.select(words.alias("w"))
+        .select(F.explode(pair).alias("p"))
         .where(F.col("p").isNotNull())
         .groupBy("p.word1", "p.word2")
         .agg(F.count("*").alias("n"))
     )
-    single = _unigrams(df, col, stop, fold_plurals)
-    plain = cloud_tokens(df, col, stop).where(~_is_number("term"))
-    if fold_plurals:
-        bigrams = _fold_plurals(bigrams, ["word1", "word2"])
-    # every surface word -> the word it is counted under, and that word's count
-    folded_as = plain.select(F.col("term").alias("word"))
-    stem = F.expr("substring(word, 1, length(word) - 1)")
-    if fold_plurals:
-        known = single.select(F.col("term").alias("counted"), F.col("n").alias("c"))
-        target = folded_as.join(
-            single.select(F.col("term").alias("_t"), F.col("n").alias("_c")),
-            F.col("word") == F.col("_t"),
-            "left",
-        ).select("word", F.when(F.col("_t").isNotNull(), F.col("word")).otherwise(stem).alias("counted"))
-        sizes = target.join(known, "counted")
-    else:
-        sizes = single.select(F.col("term").alias("word"), F.col("term").alias("counted"), F.col("n").alias("c"))
-    total = single.agg(F.sum("n").cast("double").alias("words"))
+
+
+def _scored_pairs(pairs: DataFrame, names: DataFrame, min_score: float) -> DataFrame:
+    single = _counted(names)
+    total = float(names.agg(F.sum("n")).first()[0] or 0.0)
+    sizes = names.select("word", "counted").join(
+        single.select(F.col("term").alias("counted"), F.col("n").alias("c")), "counted"
+    )
     first = sizes.select(F.col("word").alias("word1"), F.col("counted").alias("unigram1"), F.col("c").alias("c1"))
     second = sizes.select(F.col("word").alias("word2"), F.col("counted").alias("unigram2"), F.col("c").alias("c2"))
-    both = bigrams.join(first, "word1").join(second, "word2")
-    scored = _with_total(both, total).withColumn("score", _collocation_score())
+    # a plural second word joins the pair with the singular where that pair occurs; at most
+    # these two words are counted under one
+    folded = (
+        pairs.join(second, "word2")
+        .groupBy("word1", "unigram2")
+        .agg(
+            F.max(F.when(F.col("word2") == F.col("unigram2"), F.col("word2"))).alias("singular"),
+            F.max("word2").alias("any_form"),
+            F.sum("n").alias("n"),
+            F.max("c2").alias("c2"),
+        )
+        .select("word1", F.coalesce("singular", "any_form").alias("word2"), "unigram2", "n", "c2")
+    )
+    scored = folded.join(first, "word1").withColumn("score", _collocation_score(total))
     return scored.where(F.col("score") > min_score).select(
         "word1", "word2", "unigram1", "unigram2", "n", "score"
     )
 
 
-def _with_total(df: DataFrame, total: DataFrame) -> DataFrame:
-    """Add the one value of ``total`` to every row: a one-row scalar, read first."""
-    value = total.first()[0]
-    return df.withColumn("words", F.lit(float(value or 0.0)))
-
+def collocations(
+    df: DataFrame,
+    col: str = "summary",
+    stop: Sequence[str] | None = None,
+    min_score: float = 30.0,
+    fold_plurals: bool = True,
+) -> DataFrame:
+    """(word1, word2, unigram1, unigram2, n, score): neighbouring words that occur together
+    more than by chance, with the words they are counted under.
 
-def _collocation_score() -> Column:
-    c12, c1, c2, n = (F.col(c).cast("double") for c in ("n", "c1", "c2", "words"))
-    p, p1, p2 = c2 / n, c12 / c1, (c2 - c12) / (n - c1)
-    ratio = (
-        _log_likelihood(c12, c1, p)
-        + _log_likelihood(c2 - c12, n - c1, p)
-        - _log_likelihood(c12, c1, p1)
-        - _log_likelihood(c2 - c12, n - c1, p2)
-    )
-    return F.when((n <= c1) | (n <= c2), F.lit(0.0)).otherwise(-2 * ratio)
+    Words are neighbours within one document (deviation: no pair spans two documents).
+    """
+    stop = cloud_stop_words() if stop is None else stop
+    return _scored_pairs(_word_pairs(df, col, stop), _names(df, col, stop, fold_plurals), min_score)
 
 
 def cloud_weights(
@@ -155,12 +160,13 @@ def cloud_weights(
 
     Numbers are dropped and plurals counted with their singular. With collocations, a pair
     of words that scores above ``min_score`` is an entry of its own and its occurrences are
-    taken off its two words.
+    taken off its two words. The corpus is read twice: for its words and for its pairs.
     """
     stop = cloud_stop_words() if stop is None else stop
-    counts = _unigrams(df, col, stop, fold_plurals)
+    names = _names(df, col, stop, fold_plurals)
+    counts = _counted(names)
     if with_collocations:
-        pairs = collocations(df, col, stop, min_score, fold_plurals)
+        pairs = cut(_scored_pairs(_word_pairs(df, col, stop), names, min_score))
         taken = pairs.select(
             F.explode(F.array("unigram1", "unigram2")).alias("term"), (-F.col("n")).alias("n")
         )

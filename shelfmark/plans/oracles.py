@@ -48,10 +48,8 @@ def _words(col: str) -> str:
 
 
 def _grams(col: str) -> str:
-    low = f"lower({col})"
-    return (
-        f"list_distinct(list_transform(range(1, greatest(length({low}), 1)), lambda i: substring({low}, i, 2)))"
-    )
+    chars = f"string_split(lower({col}), '')"
+    return f"list_distinct(list_transform(list_zip({chars}, {chars}[2:], true), lambda z: z[1] || z[2]))"
 
 
 def _country(col: str, word: bool = False) -> str:

@@ -21,7 +21,8 @@ def report_tables(df: DataFrame, out: str | None = None, k_terms: int = 100, k_c
         "countries": country_counts(tagged, k_countries),
         "timeline": timeline(with_year(df)),
     }
-    if out is not None:
-        for name, table in tables.items():
-            table.write.mode("overwrite").parquet(f"{out}/{name}")
-    return tables
+    if out is None:
+        return tables
+    for name, result in tables.items():
+        result.write.mode("overwrite").parquet(f"{out}/{name}")
+    return {name: df.sparkSession.read.parquet(f"{out}/{name}") for name in tables}
