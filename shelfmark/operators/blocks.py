@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shelfmark.session import cut
+from shelfmark.session import cut, width
 
 #: Points per block: two blocks of 150 doubles take 10 MB in a task.
 BLOCK_ROWS = 4096
@@ -110,6 +110,4 @@ def block_product(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str
 
 def _spread(df: DataFrame, cells: int) -> DataFrame:
     """One partition per cell up to the width of the session, so that cells run side by side."""
-    spark = df.sparkSession
-    width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(max(1, min(cells, 4 * width)), "cell", "same")
+    return df.repartition(max(1, min(cells, 4 * width(df.sparkSession))), "cell", "same")

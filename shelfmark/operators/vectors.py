@@ -31,11 +31,16 @@ class Vectorised:
         )
 
 
-def grams(col: str | Column, ngrams: Sequence[int], stop: Sequence[str]) -> Column:
-    """Words of two or more characters without stop words, and pairs of neighbouring words."""
-    words = F.filter(word_runs(col, 2), lambda w: ~w.isin(*stop)) if stop else word_runs(col, 2)
-    parts = {1: words, 2: pairs_in_order(words)}
-    return F.concat(*[parts[n] for n in ngrams])
+def with_grams(
+    df: DataFrame, col: str | Column, ngrams: Sequence[int], stop: Sequence[str]
+) -> DataFrame:
+    """Add ``grams``: words of two or more characters without stop words, and pairs of
+    neighbouring words."""
+    words = word_runs(col, 2)
+    words = F.filter(words, lambda w: ~w.isin(*stop)) if stop else words
+    parts = {1: F.col("_words"), 2: pairs_in_order(F.col("_words"))}
+    # the words are a column of their own, or each use would cut the text again
+    return df.withColumn("_words", words).withColumn("grams", F.concat(*[parts[n] for n in ngrams]))
 
 
 def tfidf(
@@ -57,7 +62,7 @@ def tfidf(
     kept, spilling to disk; a lost executor's share is computed again from the source.
     """
     stop = stop_words("english") if stop is None else stop
-    docs = df.select(F.col(id_col).alias("id"), grams(col, ngrams, stop).alias("grams"))
+    docs = with_grams(df.select(F.col(id_col).alias("id"), col), col, ngrams, stop).select("id", "grams")
     counts = docs.select(F.explode("grams").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     vocabulary = [r["term"] for r in counts.orderBy(F.desc("n"), "term").limit(vocab).collect()]
     if not vocabulary:

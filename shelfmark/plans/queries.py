@@ -19,7 +19,7 @@ from shelfmark.operators.vectors import Vectorised, tfidf
 from shelfmark.operators.ward import cut_tree, ward_linkage
 from shelfmark.plans import clustering
 from shelfmark.plans.report import report_tables
-from shelfmark.session import cut, ensure_checkpoint_dir
+from shelfmark.session import cut, ensure_checkpoint_dir, widen
 from shelfmark.sources.bibtex import read_bibtex_exports
 from shelfmark.sources.exports import read_exports, read_unified, unify, write_unified
 from shelfmark.streaming.ingest import ingest_stream, read_ingested
@@ -33,7 +33,8 @@ PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return widen(df, "doc_id") if name == "documents" else df
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
