@@ -44,9 +44,9 @@ def ward_heights(x):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block_rows,group_rows", [(4096, 4096), (16, 4096), (16, 12)])
+@pytest.mark.parametrize("block_rows,group_rows", [(4096, 4096), (24, 24)])
 def test_ward_matches_one_merge_at_a_time(spark, block_rows, group_rows):
-    x = points()
+    x = points(n=45)
     z = ward_linkage(frame(spark, x), block_rows, group_rows).orderBy("merge_id").collect()
     assert [r["merge_id"] for r in z] == list(range(len(x) - 1))
     assert np.allclose([r["height"] for r in z], ward_heights(x), atol=1e-9)
