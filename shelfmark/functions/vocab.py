@@ -38,10 +38,16 @@ COUNTRIES = {
 
 @lru_cache(maxsize=None)
 def stop_words(language: str) -> tuple[str, ...]:
-    """Spark's bundled stop words, lower-cased (deviation: the NLTK lists are not available)."""
+    """Spark's bundled stop words, lower-cased, as the running session gives them."""
     from pyspark.ml.feature import StopWordsRemover
-
-    return tuple(sorted({w.lower() for w in StopWordsRemover.loadDefaultStopWords(language)}))
+    from pyspark.sql import SparkSession
+
+    running = SparkSession.getActiveSession()
+    session = running or SparkSession.builder.getOrCreate()
+    words = tuple(sorted({w.lower() for w in StopWordsRemover.loadDefaultStopWords(language)}))
+    if running is None:
+        session.stop()
+    return words
 
 
 def cloud_stop_words() -> tuple[str, ...]:

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import zipfile
-from functools import lru_cache
-from pathlib import Path
+import warnings
 
-import pyspark
-
-from shelfmark.functions.vocab import ACADEMIC_STOP_WORDS, COUNTRIES
+from shelfmark.functions.vocab import COUNTRIES, cloud_stop_words, stop_words
 from shelfmark.functions.text import SHORT_SUMMARY
 from shelfmark.operators.lookup import CATEGORY_LABELS
 from shelfmark.plans import queries as q
@@ -21,22 +17,12 @@ CORPUS = """corpus AS (
   FROM documents)"""
 
 
-@lru_cache(maxsize=None)
-def _bundled(language: str) -> tuple[str, ...]:
-    """Spark's stop words, read from its jar so that no session is needed."""
-    jar = next(Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar"))
-    name = f"org/apache/spark/ml/feature/stopwords/{language}.txt"
-    with zipfile.ZipFile(jar) as archive:
-        words = archive.read(name).decode("utf-8").split("\n")
-    return tuple(sorted({w.strip().lower() for w in words if w.strip()}))
-
-
 def _list(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
 def _cloud_stop() -> str:
-    return _list(sorted({*_bundled("english"), *_bundled("spanish"), *ACADEMIC_STOP_WORDS}))
+    return _list(cloud_stop_words())
 
 
 def _runs(col: str, n: int) -> str:
@@ -195,7 +181,7 @@ SELECT id_a, id_b, copies_a, copies_b, round(score, 6) AS score FROM dot WHERE s
 
 def _vectors() -> str:
     """Vectors in long form: ``vec`` (id, term, w)."""
-    stop = _list(_bundled("english"))
+    stop = _list(stop_words("english"))
     return f"""kept AS (
   SELECT doc_id AS id, list_filter({_runs('text', 2)}, lambda x: x NOT IN ({stop})) AS w FROM documents),
 gram AS (
@@ -353,12 +339,12 @@ def oracles() -> dict[str, str]:
             FROM f GROUP BY flag""",
         "top_terms": f"""SELECT term, count(*) AS n FROM (SELECT unnest({_runs('text', 6)}) AS term FROM documents)
             GROUP BY term ORDER BY n DESC, term LIMIT 10""",
-        "cloud_tokens": f"""SELECT term, count(*) AS n FROM (SELECT unnest({_runs('text', 3)}) AS term FROM documents)
+        "cloud_tokens": lambda: f"""SELECT term, count(*) AS n FROM (SELECT unnest({_runs('text', 3)}) AS term FROM documents)
             WHERE term NOT IN ({_cloud_stop()}) GROUP BY term""",
-        "cloud_weights": _cloud(True),
-        "report_cloud": _cloud(True),
-        "cloud_single_words": _cloud(False),
-        "collocations": f"""WITH {_unigrams()}, {_collocations()}
+        "cloud_weights": lambda: _cloud(True),
+        "report_cloud": lambda: _cloud(True),
+        "cloud_single_words": lambda: _cloud(False),
+        "collocations": lambda: f"""WITH {_unigrams()}, {_collocations()}
             SELECT word1, word2, n, round(score, 3) AS score FROM scored""",
         "tag_country": f"{tagged} SELECT id, country FROM tagged",
         "tag_country_words": f"WITH {CORPUS}, {_tagged(True)} SELECT id, country FROM tagged",
@@ -393,14 +379,23 @@ def oracles() -> dict[str, str]:
             FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
             r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, neighbour)::INTEGER AS rank FROM p)
             SELECT id, neighbour, rank, round(sim, 5) AS sim FROM r WHERE rank <= {q.TOP_K}""",
-        "tfidf_vectors": f"WITH {_vectors()} SELECT id, term, round(w, 6) AS w FROM vec",
-        "dbscan_clusters": _dbscan(0.7),
-        "silhouette_euclidean": _silhouette("lang", "sqrt(greatest(qx + qy - 2 * dot, 0))"),
-        "silhouette_cosine": _silhouette("source", "1 - dot"),
+        "tfidf_vectors": lambda: f"WITH {_vectors()} SELECT id, term, round(w, 6) AS w FROM vec",
+        "dbscan_clusters": lambda: _dbscan(0.7),
+        "silhouette_euclidean": lambda: _silhouette("lang", "sqrt(greatest(qx + qy - 2 * dot, 0))"),
+        "silhouette_cosine": lambda: _silhouette("source", "1 - dot"),
         "cluster_sizes": """SELECT 'lang' AS method, (dense_rank() OVER (ORDER BY lang))::INTEGER AS label, count(*) AS n
             FROM documents GROUP BY lang""",
         "cluster_members": f"""{corpus}, r AS (SELECT *, dense_rank() OVER (ORDER BY lang) AS label FROM corpus)
             SELECT id, title FROM r WHERE label = 2""",
     }
     sql.update({f"{n}_pairs": _pair_score(n) for n in ("jaccard", "hamming_words", "dice")})
-    return sql
+    return {name: text for name, text in ((n, _text(n, t)) for n, t in sql.items()) if text is not None}
+
+
+def _text(name: str, entry) -> str | None:
+    """The SQL of an entry; one that cannot be built costs its own query only."""
+    try:
+        return entry() if callable(entry) else entry
+    except Exception as error:  # noqa: BLE001 - the other queries keep their SQL
+        warnings.warn(f"no SQL for {name}: {error}", stacklevel=2)
+        return None
