@@ -39,11 +39,12 @@ COUNTRIES = {
 @lru_cache(maxsize=None)
 def stop_words(language: str) -> tuple[str, ...]:
     """Spark's bundled stop words, lower-cased, as the running session gives them."""
+    from pyspark import SparkContext
     from pyspark.ml.feature import StopWordsRemover
     from pyspark.sql import SparkSession
 
-    running = SparkSession.getActiveSession()
-    session = running or SparkSession.builder.getOrCreate()
+    running = SparkContext._active_spark_context
+    session = SparkSession.builder.getOrCreate()
     words = tuple(sorted({w.lower() for w in StopWordsRemover.loadDefaultStopWords(language)}))
     if running is None:
         session.stop()
