@@ -20,6 +20,14 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path(TOKENIZER))
 
 
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfmark.llm.quality_rules import quality_verdicts
+
+    return quality_verdicts(table(spark, folder, "documents"), table(spark, folder, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     from shelfmark.llm.pieces import piece_codes
 
@@ -27,7 +35,61 @@ def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op5_sentencepiece": op5_sentencepiece,
 }
 
-ORACLES: dict[str, str] = {}
+def _rules_sql(alpha: float = 0.02, delta: float = 0.05) -> str:
+    """The stats by joins over words and lines, the certified cutoffs by summed binomial terms."""
+    from shelfmark.llm.quality_rules import CUTOFFS
+
+    cutoffs = ", ".join(f"('{r}', {i}, {c}::DOUBLE)" for r, cs in CUTOFFS.items() for i, c in enumerate(cs))
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce('=' || lang, 'null') AS stratum FROM documents),
+w AS (SELECT doc_id, stratum, text, regexp_extract_all(text, '[^ 	-]+') AS words, string_split(text, chr(10)) AS lines FROM d),
+pos AS (SELECT doc_id, unnest(range(1, len(words) - 3)) AS p, words FROM w WHERE len(words) >= 5),
+run AS (SELECT doc_id, p, array_to_string(words[p : p + 4], ' ') AS g FROM pos),
+twice AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS n FROM run) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM twice, (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id),
+s AS (
+  SELECT w.doc_id, stratum, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    len(list_filter(lines, lambda x: regexp_matches(x, '[^ 	-]')))::BIGINT AS n_lines,
+    len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '[^ 	-]'))))::BIGINT AS d_lines,
+    len(regexp_extract_all(text, '\p{{Lu}}'))::BIGINT AS n_capitals, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN rep USING (doc_id)),
+v AS (
+  SELECT doc_id, stratum, n_words, word_chars, n_symbols, n_lines - d_lines AS n_dup_lines, n_repeat_words,
+    n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbols_per_word,
+    CASE WHEN n_lines > 0 THEN (n_lines - d_lines) / n_lines ELSE 0 END AS dup_line_share,
+    CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeat_word_share,
+    CASE WHEN word_chars > 0 THEN n_capitals / word_chars ELSE 0 END AS capital_share
+  FROM s),
+long AS (UNPIVOT (SELECT doc_id, stratum, symbols_per_word, dup_line_share, repeat_word_share, capital_share FROM v)
+  ON symbols_per_word, dup_line_share, repeat_word_share, capital_share INTO NAME rule VALUE x),
+mark AS (SELECT doc_id, min(quality) > 0 AS good FROM labels GROUP BY doc_id),
+cutoff(rule, i, c) AS (VALUES {cutoffs}),
+counted AS (
+  SELECT stratum, rule, i, c, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE good AND x > c) AS k,
+    count(*) FILTER (WHERE NOT good) AS nb, count(*) FILTER (WHERE NOT good AND x > c) AS kb
+  FROM long JOIN cutoff USING (rule) LEFT JOIN mark USING (doc_id) GROUP BY ALL),
+tail AS (
+  SELECT *, CASE WHEN k >= n * {alpha} THEN 1 ELSE
+    list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0) + j * ln({alpha}) + (n - j) * ln(1 - {alpha})))) END AS p
+  FROM counted),
+passed AS (
+  SELECT *, min(CASE WHEN n > 0 AND p <= {delta} / ((SELECT count(DISTINCT stratum) FROM d) * 4) THEN 1 ELSE 0 END)
+      OVER (PARTITION BY stratum, rule ORDER BY i) AS ok,
+    CASE WHEN nb > 0 THEN kb / nb ELSE 0 END - CASE WHEN n > 0 THEN k / n END AS gap
+  FROM tail),
+chosen AS (
+  SELECT stratum, rule, c FROM passed WHERE ok = 1 AND gap > 0
+  QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gap DESC, i) = 1),
+hit AS (SELECT DISTINCT doc_id FROM long JOIN chosen USING (stratum, rule) WHERE x > c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM hit) AS kept
+FROM v"""
+
+
+ORACLES: dict[str, str] = {"op1_quality_rules": _rules_sql()}
