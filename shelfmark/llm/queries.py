@@ -34,9 +34,16 @@ def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return piece_codes(table(spark, folder, "documents"), tokenizer_path())
 
 
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfmark.llm.decontamination import benchmark_hits
+
+    return benchmark_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_decontamination": op6_decontamination,
 }
 
 def _rules_sql(alpha: float = 0.02, delta: float = 0.05) -> str:
@@ -46,7 +53,8 @@ def _rules_sql(alpha: float = 0.02, delta: float = 0.05) -> str:
     cutoffs = ", ".join(f"('{r}', {i}, {c}::DOUBLE)" for r, cs in CUTOFFS.items() for i, c in enumerate(cs))
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce('=' || lang, 'null') AS stratum FROM documents),
-w AS (SELECT doc_id, stratum, text, regexp_extract_all(text, '[^ 	-]+') AS words, string_split(text, chr(10)) AS lines FROM d),
+w AS (SELECT doc_id, stratum, text, regexp_extract_all(text, '[^ 	-
+]+') AS words, string_split(text, chr(10)) AS lines FROM d),
 pos AS (SELECT doc_id, unnest(range(1, len(words) - 3)) AS p, words FROM w WHERE len(words) >= 5),
 run AS (SELECT doc_id, p, array_to_string(words[p : p + 4], ' ') AS g FROM pos),
 twice AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS n FROM run) WHERE n > 1),
@@ -54,8 +62,10 @@ rep AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM twice, (SELECT unnest(ran
 s AS (
   SELECT w.doc_id, stratum, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-    len(list_filter(lines, lambda x: regexp_matches(x, '[^ 	-]')))::BIGINT AS n_lines,
-    len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '[^ 	-]'))))::BIGINT AS d_lines,
+    len(list_filter(lines, lambda x: regexp_matches(x, '[^ 	-
+]')))::BIGINT AS n_lines,
+    len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '[^ 	-
+]'))))::BIGINT AS d_lines,
     len(regexp_extract_all(text, '\p{{Lu}}'))::BIGINT AS n_capitals, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN rep USING (doc_id)),
 v AS (
@@ -92,4 +102,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM v"""
 
 
-ORACLES: dict[str, str] = {"op1_quality_rules": _rules_sql()}
+_HITS_SQL = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[p : p + 9], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM bw WHERE len(w) > 0)),
+size AS (SELECT DISTINCT n FROM win),
+run AS (
+  SELECT doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM dw, size WHERE len(w) >= n)),
+hit AS (SELECT doc_id, run.n, p, item_id FROM run JOIN win USING (n, g)),
+word AS (SELECT doc_id, count(DISTINCT p + k) AS n_hit FROM (SELECT doc_id, p, unnest(range(0, n)) AS k FROM hit) GROUP BY doc_id),
+item AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id)
+SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)"""
+
+
+ORACLES: dict[str, str] = {"op1_quality_rules": _rules_sql(), "op6_decontamination": _HITS_SQL}
