@@ -28,6 +28,12 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfmark.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, folder, "documents"), width=3, num=90, den=100)
+
+
 def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     from shelfmark.llm.pieces import piece_codes
 
@@ -42,6 +48,7 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_decontamination": op6_decontamination,
 }
@@ -122,4 +129,22 @@ SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit
 FROM dw LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)"""
 
 
-ORACLES: dict[str, str] = {"op1_quality_rules": _rules_sql(), "op6_decontamination": _HITS_SQL}
+_JOIN_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE
+    list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i : i + 2], ' '))) END AS s
+  FROM d),
+class AS (SELECT min(doc_id) AS rep, list_sort(s) AS s, len(s) AS n FROM g WHERE len(s) > 0 GROUP BY list_sort(s), len(s)),
+tok AS (SELECT rep, n, unnest(s) AS t FROM class),
+pair AS (
+  SELECT a.rep AS a, b.rep AS b FROM tok a JOIN tok b ON a.t = b.t AND a.rep < b.rep AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+edge AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair),
+reach(x, y) AS (SELECT rep, rep FROM class UNION SELECT reach.x, edge.b FROM reach JOIN edge ON edge.a = reach.y),
+comp AS (SELECT x AS rep, min(y) AS c FROM reach GROUP BY x)
+SELECT g.doc_id, len(g.s)::BIGINT AS n_shingles, coalesce(c, g.doc_id) AS component_id
+FROM g LEFT JOIN class ON class.s = list_sort(g.s) LEFT JOIN comp USING (rep)"""
+
+
+ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": _JOIN_SQL, "op1_quality_rules": _rules_sql(), "op6_decontamination": _HITS_SQL}
