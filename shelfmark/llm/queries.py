@@ -46,11 +46,18 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return benchmark_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfmark.llm.paragraphs import paragraph_removals
+
+    return paragraph_removals(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_decontamination": op6_decontamination,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 def _rules_sql(alpha: float = 0.02, delta: float = 0.05) -> str:
