@@ -34,6 +34,12 @@ def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(table(spark, folder, "documents"), width=3, num=90, den=100)
 
 
+def op4_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfmark.llm.substring_dedup import suffix_dedup
+
+    return suffix_dedup(table(spark, folder, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     from shelfmark.llm.pieces import piece_codes
 
@@ -55,6 +61,7 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_decontamination": op6_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
