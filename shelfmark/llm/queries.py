@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Folder of the public tokenizer files; its path is a parameter of the operators.
 TOKENIZER = "piece_bpe_32k.model"
@@ -34,6 +34,14 @@ def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(table(spark, folder, "documents"), width=3, num=90, den=100)
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfmark.llm.toxicity import fold, toxicity_scores
+
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(True))
+    found = toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"), learn=~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "worst_begin", "worst_end", "worst_score")
+
+
 def op4_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from shelfmark.llm.substring_dedup import suffix_dedup
 
@@ -61,6 +69,7 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_toxicity": op3_toxicity,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_decontamination": op6_decontamination,
