@@ -60,6 +60,15 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return benchmark_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfmark.llm.quality_ranking import quality_scores
+    from shelfmark.llm.toxicity import fold
+
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(True))
+    found = quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"), learn=~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from shelfmark.llm.paragraphs import paragraph_removals
 
@@ -73,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_decontamination": op6_decontamination,
+    "op7_quality_classifier": op7_quality_classifier,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
