@@ -69,6 +69,12 @@ def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfmark.llm.main_text import main_texts
+
+    return main_texts(table(spark, folder, "pages"))
+
+
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from shelfmark.llm.paragraphs import paragraph_removals
 
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_decontamination": op6_decontamination,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_html_extraction": op8_html_extraction,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
