@@ -75,6 +75,15 @@ def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return main_texts(table(spark, folder, "pages"))
 
 
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfmark.llm.language_net import predicted_languages
+    from shelfmark.llm.toxicity import fold
+
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(True))
+    found = predicted_languages(table(spark, folder, "documents"), learn=~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from shelfmark.llm.paragraphs import paragraph_removals
 
@@ -90,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_html_extraction": op8_html_extraction,
+    "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
