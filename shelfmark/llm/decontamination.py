@@ -16,6 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelfmark.llm.rows import text_key, without
 from shelfmark.session import cut
 
 #: What is no word once A-Z are small: words are digits, a-z and everything beyond ASCII.
@@ -97,6 +98,24 @@ def near_matches(index: DataFrame, anchors: DataFrame) -> DataFrame:
     return index.join(anchors, "term").where(F.size(missing) == 0).select("key", "pos", "phrase").distinct()
 
 
+def _found(docs, items, width, id_col, text_col, item_col, item_text) -> tuple[DataFrame, DataFrame]:
+    """The phrases of the items, and their occurrences (at: id and key of the text, start, phrase)."""
+    at = F.struct(F.col(id_col).alias("id"), text_key(id_col, text_col).alias("key"))
+    texts = docs.select(at.alias("key"), index_words(text_col).alias("w"))
+    wanted = cut(phrases_of(items, width, item_col, item_text))
+    phrases = wanted.select("phrase").distinct()
+    terms = cut(phrases.select(F.explode("phrase").alias("term")).distinct())
+    anchors = cut(rarest_terms(phrases, term_counts(texts, terms)))
+    index = cut(postings(texts, anchors.select("term").distinct(), width - 1))
+    return wanted, cut(phrase_matches(index, anchors).distinct().withColumnRenamed("key", "at"))
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` without the rows in which a phrase of ``items`` occurs, all columns as they are."""
+    _, found = _found(docs, items, width, id_col, text_col, item_col, item_text)
+    return without(docs, found.select("at.id", "at.key"), id_col, text_col)
+
+
 def benchmark_hits(
     docs: DataFrame,
     items: DataFrame,
@@ -114,14 +133,8 @@ def benchmark_hits(
     but is not listed. Empty tables give no rows or no hits. Of the inputs only the named
     columns are read. The index and the matches are written to the checkpoint folder.
     """
-    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.octet_length(text_col).alias("b"))
-    texts = docs.select(key.alias("key"), index_words(text_col).alias("w"))
-    wanted = cut(phrases_of(items, width, item_col, item_text))
-    phrases = wanted.select("phrase").distinct()
-    terms = cut(phrases.select(F.explode("phrase").alias("term")).distinct())
-    anchors = cut(rarest_terms(phrases, term_counts(texts, terms)))
-    index = cut(postings(texts, anchors.select("term").distinct(), width - 1))
-    found = cut(phrase_matches(index, anchors).distinct())
+    key = text_key(id_col, text_col)
+    wanted, found = _found(docs, items, width, id_col, text_col, item_col, item_text)
 
     zero = F.lit(0).cast("long")
     covered = F.aggregate(
@@ -133,15 +146,14 @@ def benchmark_hits(
         ),
         lambda a: a["n"],
     )
-    hits = found.groupBy("key").agg(covered.alias("n_hit"))
+    hits = found.groupBy("at").agg(covered.alias("n_hit"))
     listed = (
-        found.select("key", "phrase").distinct().join(wanted.where(F.col("item").isNotNull()), "phrase")
-        .groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    )
-    rows = docs.select(F.col(id_col).alias("_id"), key.alias("_key"), F.size(index_words(text_col)).cast("long").alias("n_words"))
-    met = rows.join(hits.withColumnRenamed("key", "_hit"), F.col("_key").eqNullSafe(F.col("_hit")), "left").join(
-        listed.withColumnRenamed("key", "_listed"), F.col("_key").eqNullSafe(F.col("_listed")), "left"
+        found.select("at", "phrase").distinct().join(wanted.where(F.col("item").isNotNull()), "phrase")
+        .groupBy("at").agg(F.sort_array(F.collect_set("item")).alias("items"))
     )
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(id_col).alias("_doc"), key.alias("_key"), F.size(index_words(text_col)).cast("long").alias("n_words"))
+    on = lambda other: F.col("_doc").eqNullSafe(F.col(f"{other}.id")) & (F.col("_key") == F.col(f"{other}.key"))
+    met = rows.join(hits.withColumnRenamed("at", "_hit"), on("_hit"), "left").join(listed.withColumnRenamed("at", "_listed"), on("_listed"), "left")
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", zero)
     return met.select(

@@ -19,6 +19,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelfmark.llm.rows import text_key, without
 from shelfmark.operators.keys import lookup_join
 from shelfmark.session import cut
 
@@ -181,6 +182,7 @@ def quality_verdicts(
     stratum_col: str = "lang",
     label_col: str = "quality",
     cutoffs: Mapping[str, Sequence[float]] | None = None,
+    carry: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """(id, the stats, base_failed, kept, failed_rules) for every row of ``docs``.
 
@@ -191,11 +193,12 @@ def quality_verdicts(
     null id has no label. A document with several labels is good only if none says 0; a null
     label counts as none. A null text has no words and fails the base rule. Empty tables give
     no rows; without labels no cutoff is certified and the base rule alone decides. Of the
-    inputs only the named columns are read.
+    inputs only the named columns are read. ``carry`` adds columns of ``docs`` to the result.
     """
     cutoffs = CUTOFFS if cutoffs is None else cutoffs
+    carry = carry or {}
     stratum = F.coalesce(F.concat(F.lit("="), F.col(stratum_col).cast("string")), F.lit("null"))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), stratum.alias("stratum"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), stratum.alias("stratum"), *[c.alias(n) for n, c in carry.items()])
     stats = cut(text_stats(rows, "_text").drop("_text"))
     marks = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_label_id")).agg((F.min(label_col) > 0).alias("good"))
     values = rule_values()
@@ -207,7 +210,13 @@ def quality_verdicts(
     met = lookup_join(stats, table, "stratum", picks, "n_docs", F.xxhash64("_id", "word_chars", "n_words"))
     failed = F.array_compact(F.array(*[F.when(values[r] > F.col(f"cut_{r}"), F.lit(r)) for r in cutoffs]))
     return met.select(
-        F.col("_id").alias(id_col), *STATS, base_failed().alias("base_failed"), failed.alias("failed_rules")
+        F.col("_id").alias(id_col), *carry, *STATS, base_failed().alias("base_failed"), failed.alias("failed_rules")
     ).select(
-        id_col, *STATS, "base_failed", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"), "failed_rules"
+        id_col, *carry, *STATS, "base_failed", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"), "failed_rules"
     )
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` without the rows that the rules reject, all columns as they are."""
+    found = quality_verdicts(docs, labels, id_col=id_col, text_col=text_col, carry={"key": text_key(id_col, text_col)}, **how)
+    return without(docs, cut(found.where(~F.col("kept")).select(F.col(id_col).alias("id"), "key")), id_col, text_col)

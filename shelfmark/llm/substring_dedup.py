@@ -288,12 +288,8 @@ def suffix_dedup(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text
             for part in slices(batch, "text"):
                 out: list[list] = [[], [], [], [], []]
                 for text, cuts in zip(part.column("text"), part.column("spans")):
-                    raw, at, kept = (text.as_py() or "").encode(), 0, []
-                    cuts = cuts.as_py() or []
-                    for c in cuts:
-                        kept.append(raw[at : c["begin"]])
-                        at = c["end"]
-                    kept = b"".join([*kept, raw[at:]])
+                    raw, cuts = (text.as_py() or "").encode(), cuts.as_py() or []
+                    kept = _spared(raw, cuts)
                     for col, x in zip(out, (len(raw), len(raw) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), kept)):
                         col.append(x)
                 cols = [part.column("_own"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())]
@@ -305,3 +301,35 @@ def suffix_dedup(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text
 
     schema = "_own bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept_text string" if texts else "")
     return met.mapInArrow(cleaned, schema).withColumnRenamed("_own", id_col)
+
+
+def without_repeats(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with repeated bytes cut from the text; other columns and null texts stay. What a
+    cut through a character leaves of it goes too."""
+    spans = repeated_spans(docs, width, id_col, text_col)
+    entries = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
+    own = F.col(id_col).cast("bigint")
+    lists = spans.select(F.col("id").alias("_cut_id"), F.col("h").alias("_cut_h"), F.col("spans").alias("_cut_spans"))
+    same = (F.coalesce(own, F.lit(0)) == F.col("_cut_id")) & (F.xxhash64(F.col(text_col), own.isNull()) == F.col("_cut_h"))
+    met = docs.join(F.broadcast(lists) if entries <= BROADCAST_ENTRIES else lists.hint("shuffle_merge"), same, "left").select(*docs.columns, "_cut_spans")
+    names = docs.columns
+    at = names.index(text_col)
+
+    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, cuts in zip(batch.column(at), batch.column(len(names))):
+                text, cuts = text.as_py(), cuts.as_py()
+                texts.append(_spared(text.encode(), cuts).decode("utf-8", "ignore") if cuts else text)
+            cols = [batch.column(i) if i != at else pa.array(texts, pa.string()) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return met.mapInArrow(cleaned, docs.schema)
+
+
+def _spared(raw: bytes, cuts: list[dict]) -> bytes:
+    kept, at = [], 0
+    for c in cuts:
+        kept.append(raw[at : c["begin"]])
+        at = c["end"]
+    return b"".join([*kept, raw[at:]])
