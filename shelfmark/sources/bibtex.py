@@ -1,12 +1,13 @@
-"""BibTeX citation exports of the form ``field = {value}``."""
+"""BibTeX citation exports."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from shelfmark.functions.text import doi_url
+from shelfmark.operators.keys import lookup_join
 
 # ---- fixed values -------------------------------------------------------------------
 NO_AUTHOR = "Sin autor"
@@ -15,43 +16,81 @@ NO_YEAR = "2024"
 # -------------------------------------------------------------------------------------
 
 FILES = "*.[bB][iI][bB]"
-ENTRY = r"^\s*@?\w+\s*\{"
-
-
-def read_entries(spark: SparkSession, paths: str | Sequence[str], pattern: str = FILES) -> DataFrame:
-    """One row per entry: (entry, archivo, ingest_ord). Files are split, not read whole."""
+#: A piece that begins an entry or a block without fields; the first piece of a file keeps its @.
+START = r"^\s*@?\w+\s*[{(]"
+#: Blocks that are no records.
+NO_RECORD = r"(?i)^\s*@?(comment|string|preamble)\s*[{(]"
+
+# Text without braces, with braces nested once, twice and three times.
+_FLAT = r"[^{}]*+"
+_ONE = rf"{_FLAT}(?:\{{{_FLAT}\}}{_FLAT})*+"
+_TWO = rf"{_FLAT}(?:\{{{_ONE}\}}{_FLAT})*+"
+_THREE = rf"{_FLAT}(?:\{{{_TWO}\}}{_FLAT})*+"
+_QUOTED = rf"[^\"{{}}]*+(?:\{{{_ONE}\}}[^\"{{}}]*+)*+"
+#: A field with its value in braces, in quotes, or bare.
+FIELD = rf"(?s)[\w-]+\s*=\s*(?:\{{{_THREE}\}}|\"{_QUOTED}\"|[^\s,{{}}\"]+)"
+_NAME = r"^([\w-]+)\s*="
+_VALUE = r"(?s)^[\w-]+\s*=\s*[{\"]?(.*?)[}\"]?$"
+
+
+def _pieces(spark: SparkSession, paths: str | Sequence[str], pattern: str) -> DataFrame:
+    """Files cut at every line that starts with @; large files are split, not read whole."""
     return (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
         .option("lineSep", "\n@")
         .text(paths)
         .select(
-            F.col("value").alias("entry"),
+            F.col("value").alias("piece"),
             F.col("_metadata.file_path").alias("archivo"),
-            F.monotonically_increasing_id().alias("ingest_ord"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("row"),
         )
     )
 
 
-def field_value(entry: Column, name: str, drop_braces: bool = True) -> Column:
-    """The value of one field, over several lines if need be; null when the entry lacks it.
+def read_entries(spark: SparkSession, paths: str | Sequence[str], pattern: str = FILES) -> DataFrame:
+    """One row per record entry: (entry, archivo, ingest_ord).
 
-    A value ends at the brace that is followed by the next field or by the end of the entry.
+    A piece that starts no entry, such as a line of an abstract that begins with @, belongs to
+    the entry before it. Entries are numbered inside each split of a file, whose size is
+    bounded; a split that begins inside an entry looks up the split before that has one.
     """
-    pattern = (
-        r"(?si)(?:\n|\{[^\n=]*,)\s*" + name + r"\s*=\s*\{(.*?)\}\s*"
-        r"(?:,\s*(?=\n\s*[\w-]+\s*=\s*\{)|,?\s*\}\s*$)"
+    in_block = Window.partitionBy("archivo", "block").orderBy("row")
+    numbered = _pieces(spark, paths, pattern).withColumn(
+        "k", F.sum(F.when(F.col("piece").rlike(START), 1).otherwise(0)).over(in_block)
+    )
+    blocks = numbered.groupBy("archivo", "block").agg(F.max("k").alias("last"))
+    before = Window.partitionBy("archivo").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.when(F.col("last") > 0, F.struct("block", "last"))
+    owners = blocks.select(
+        F.col("archivo").alias("_file"), F.col("block").alias("_block"), F.last(own, ignorenulls=True).over(before).alias("owner")
     )
-    found = F.when(entry.rlike(pattern), F.regexp_extract(entry, pattern, 1))
-    return F.regexp_replace(found, r"[{}]", "") if drop_braces else found
+    placed = numbered.join(
+        owners, (F.col("k") == 0) & (F.col("archivo") == F.col("_file")) & (F.col("block") == F.col("_block")), "left"
+    ).select(
+        "archivo", "block", "row", "piece",
+        F.when(F.col("k") > 0, F.col("block")).otherwise(F.col("owner.block")).alias("of_block"),
+        F.when(F.col("k") > 0, F.col("k")).otherwise(F.col("owner.last")).alias("of_k"),
+    )
+    entries = placed.where(F.col("of_k").isNotNull()).groupBy("archivo", "of_block", "of_k").agg(
+        F.sort_array(F.collect_list(F.struct("block", "row", "piece"))).alias("parts")
+    )
+    return entries.select(
+        F.array_join("parts.piece", "\n@").alias("entry"), "archivo", F.col("parts")[0]["row"].alias("ingest_ord")
+    ).where(~F.col("entry").rlike(NO_RECORD))
 
 
-def rejected_entries(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Pieces that do not start like an entry: comments, or values with a line that starts
-    with ``@`` (which cuts their entry). They are left out of the records."""
-    return read_entries(spark, paths).where(
-        ~F.col("entry").rlike(ENTRY) & (F.trim("entry") != "")
-    )
+def entry_fields(entry: Column) -> Column:
+    """All fields of an entry as texts ``name = value``, in their order."""
+    return F.regexp_extract_all(entry, F.lit(FIELD), F.lit(0))
+
+
+def field_value(fields: Column, name: str, drop_braces: bool = True) -> Column:
+    """The value of one field out of :func:`entry_fields`; null when the entry lacks it."""
+    named = F.filter(fields, lambda f: F.lower(F.regexp_extract(f, _NAME, 1)) == name)
+    value = F.regexp_extract(F.get(named, F.lit(0)), _VALUE, 1)
+    return F.regexp_replace(value, r"[{}]", "") if drop_braces else value
 
 
 def read_bibtex_exports(
@@ -62,8 +101,8 @@ def read_bibtex_exports(
     A field that no entry of a file has gets its fixed text in that file; a field that only
     some entries lack is null there. A missing DOI gives an empty link (deviation).
     """
-    entries = read_entries(spark, paths, pattern).where(F.col("entry").rlike(ENTRY))
-    get = lambda name: field_value(F.col("entry"), name, drop_braces)
+    entries = read_entries(spark, paths, pattern).select(entry_fields(F.col("entry")).alias("f"), "archivo", "ingest_ord")
+    get = lambda name: field_value(F.col("f"), name, drop_braces)
     fields = entries.select(
         get("title").alias("title"),
         get("author").alias("authors"),
@@ -74,13 +113,16 @@ def read_bibtex_exports(
         "ingest_ord",
     )
     in_file = fields.groupBy("archivo").agg(
-        *[F.bool_or(F.col(c).isNotNull()).alias(f"has_{c}") for c in ("authors", "summary", "published")]
+        F.count("*").alias("entries"),
+        *[F.bool_or(F.col(c).isNotNull()).alias(f"has_{c}") for c in ("authors", "summary", "published")],
     )
+    has = ["has_authors", "has_summary", "has_published"]
+    known = lookup_join(fields, in_file, "archivo", has, "entries", F.xxhash64("ingest_ord"))
 
     def filled(col: str, text: str) -> Column:
         return F.when(~F.col(f"has_{col}"), F.lit(text)).otherwise(F.col(col)).alias(col)
 
-    return fields.join(in_file, "archivo").select(
+    return known.select(
         "title",
         filled("authors", NO_AUTHOR),
         filled("summary", NO_SUMMARY),

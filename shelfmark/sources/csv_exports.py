@@ -49,7 +49,16 @@ def profile_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 def _header_names(header: str) -> list[str]:
-    return next(csv.reader([header.lstrip("﻿").rstrip("\r")]), [])
+    """Column names; a repeated one gets a number behind a dot, so the first keeps its name."""
+    names, seen = [], set()
+    for name in next(csv.reader([header.lstrip("﻿").rstrip("\r")]), []):
+        own, k = name, 0
+        while own.lower() in seen:
+            k += 1
+            own = f"{name}.{k}"
+        seen.add(own.lower())
+        names.append(own)
+    return names
 
 
 def read_csv_group(spark: SparkSession, paths: list[str], names: list[str], utf8: bool) -> DataFrame:

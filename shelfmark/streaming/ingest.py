@@ -49,14 +49,13 @@ def ingest_stream(
     its own partition.
     """
     names = (
-        spark.readStream.schema("value string")
+        spark.readStream.schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.{csv,bib,CSV,BIB}")
         .option("maxFilesPerTrigger", max_files)
-        .format("text")
-        .option("wholetext", "true")
+        .format("binaryFile")
         .load(folder)
-        .select(F.col("_metadata.file_path").alias("path"))
+        .select("path")  # the content column is pruned, so no file is read here
     )
 
     def run(batch: DataFrame, batch_id: int) -> None:
