@@ -15,7 +15,7 @@ def _smallest_neighbour(edges: DataFrame) -> DataFrame:
     )
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in ``edges`` (a, b); the component is its smallest id.
 
     Rounds of large star and small star: every node links its neighbours to the smallest
@@ -29,7 +29,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     state = _fingerprint(current)
-    for _ in range(max_rounds):
+    while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         smallest = _smallest_neighbour(both)
         # large star: neighbours above u go to the smallest
@@ -50,8 +50,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             current = following
             break
         current, state = following, after
-    else:
-        raise RuntimeError("components did not settle")
     roots = current.select(F.col("v").alias("id")).distinct()
     return current.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         roots.select("id", F.col("id").alias("component"))

@@ -41,7 +41,7 @@ def search(df: DataFrame, query: str, cols: Sequence[str] = ("summary", "title")
     if not query:
         return df
     if regex:
-        hits = [F.col(c).rlike(f"(?iu){query}") for c in cols]
+        hits = [F.col(c).rlike(f"(?iuU){query}") for c in cols]
     else:
         hits = [F.lower(c).contains(query.lower()) for c in cols]
     return df.where(reduce(lambda a, b: a | b, [F.coalesce(h, F.lit(False)) for h in hits]))

@@ -77,9 +77,6 @@ normal AS (
     CASE WHEN doi = '' THEN '' WHEN starts_with(doi, 'http') THEN doi ELSE 'https://doi.org/' || doi END AS url
   FROM cleaned WHERE length(title) > 5)"""
 
-PLAIN = r"regexp_replace(replace(replace({0}, '{{', '('), '}}', ')'), '\n\s*@', chr(10) || '(at)', 'g')"
-
-
 def _dated() -> str:
     return """dated AS (
   SELECT o_orderkey, year(o_orderdate) AS y, o_orderpriority AS source,
@@ -134,9 +131,9 @@ tf AS (SELECT id_a, id_b, term, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b FROM to
 wt AS (SELECT id_a, id_b, a * i AS a, b * i AS b FROM
   (SELECT *, CASE WHEN a > 0 AND b > 0 THEN 1.0 ELSE 1 + ln(1.5) END AS i FROM tf)),
 cosines AS (
-  SELECT id_a, id_b, CASE WHEN sum(a * a) = 0 OR sum(b * b) = 0 THEN 0.0
+  SELECT id_a, id_b, CASE WHEN count(a) = 0 THEN NULL WHEN sum(a * a) = 0 OR sum(b * b) = 0 THEN 0.0
     ELSE sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))) END AS tfidf_cosine
-  FROM wt GROUP BY id_a, id_b)"""
+  FROM wt RIGHT JOIN pair USING (id_a, id_b) GROUP BY id_a, id_b)"""
 
 
 def _cosine(a: str, b: str) -> str:
@@ -233,10 +230,6 @@ SELECT docs.id, coalesce(size.label, -1)::INTEGER AS label
 FROM docs LEFT JOIN {last} ON {last}.id = docs.id LEFT JOIN size ON size.m = {last}.m"""
 
 
-def _plain(col: str) -> str:
-    return PLAIN.format(col)
-
-
 def _cloud(with_collocations: bool) -> str:
     pairs = ""
     counts = "entry AS (SELECT term, n FROM uni)"
@@ -305,13 +298,15 @@ def oracles() -> dict[str, str]:
     pivot = ", ".join(
         f"count(*) FILTER (WHERE source = '{p}') AS \"{p}\"" for p in q.PRIORITIES
     )
+    first_of_title = f"""{normal} title, authors, summary, published, url FROM normal
+        QUALIFY row_number() OVER (PARTITION BY title ORDER BY doc_id) = 1"""
     sql = {
-        "normalize_csv": f"{normal} * FROM normal",
+        "normalize_csv": f"{normal} title, authors, summary, published, url, doc_id FROM normal",
         "csv_exports": f"{normal} title, authors, summary, published, url FROM normal",
-        "unify_and_store": f"{normal} DISTINCT title FROM normal",
-        "stream_ingest": f"{normal} DISTINCT title FROM normal",
-        "bibtex_exports": f"""SELECT {_plain("split_part(text, chr(10), 1)")} AS title, source AS authors,
-            {_plain('text')} AS summary, '2026' AS published,
+        "unify_and_store": first_of_title,
+        "stream_ingest": first_of_title,
+        "bibtex_exports": """SELECT split_part(text, chr(10), 1) AS title, source AS authors,
+            text || chr(10) || '@mail ' || source || ' now' AS summary, '2026' AS published,
             CASE WHEN lang = 'en' THEN 'https://doi.org/10.1000/' || doc_id ELSE '' END AS url FROM documents""",
         "union_exports": f"""{corpus} SELECT title, authors, 'f-' || lang AS archivo FROM corpus
             UNION ALL SELECT title, authors, NULL FROM corpus""",

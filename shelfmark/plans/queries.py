@@ -92,29 +92,23 @@ def csv_exports(spark, folder):
 
 
 def _bibtex(df: DataFrame) -> DataFrame:
-    def field(name, col):
-        return F.when(col.isNotNull(), F.concat(F.lit(f"{name} = {{"), col, F.lit("},\n"))).otherwise(F.lit(""))
-
+    """Entries with braced, quoted and bare values, braces inside values, a line that starts
+    with @ in each abstract, and blocks that are no records."""
+    text = lambda x: F.lit(x)
+    doi = F.when(F.col("doi").isNotNull(), F.concat(text("doi = {"), F.col("doi"), text("},\n"))).otherwise(text(""))
     return df.select(
         F.concat(
-            F.lit("@article{k"), F.col("doc_id").cast("string"), F.lit(",\n"),
-            field("title", F.col("line")), field("author", F.col("source")),
-            field("year", F.lit("2026")), field("doi", F.col("doi")),
-            F.lit("abstract = {"), F.col("body"), F.lit("}\n}\n"),
+            text("@comment{made for "), F.col("doc_id").cast("string"), text("}\n@article{k"), F.col("doc_id").cast("string"),
+            text(",\ntitle = {{"), F.col("line"), text("}}, year = 2026,\nauthor = \""), F.col("source"), text("\",\n"), doi,
+            text("abstract = {"), F.col("text"), text("\n@mail "), F.col("source"), text(" {now}}\n}\n"),
         ).alias("value")
     )
 
 
-def _plain(col):
-    """Text that may stand in a BibTeX value: no braces, and no line that starts with @."""
-    return F.regexp_replace(F.translate(col, "{}", "()"), r"\n\s*@", "\n(at)")
-
-
 def bibtex_exports(spark, folder):
     path = _scratch(spark, "bib-exports")
     doc = table(spark, folder, "documents").select(
-        "doc_id", "source", _plain(F.col("text")).alias("body"),
-        _plain(F.substring_index("text", "\n", 1)).alias("line"),
+        "doc_id", "source", "text", F.substring_index("text", "\n", 1).alias("line"),
         F.when(F.col("lang") == "en", F.concat(F.lit("10.1000/"), "doc_id")).alias("doi"),
     )
     _bibtex(doc).write.text(path)
@@ -124,19 +118,20 @@ def bibtex_exports(spark, folder):
 
 def stream_ingest(spark, folder):
     path, out = _scratch(spark, "stream-exports"), _scratch(spark, "stream-out")
-    raw = raw_export(spark, folder).drop("doc_id", "ti")
-    raw.repartition(4, "title").write.option("header", "true").option("escape", '"').csv(path)
+    raw = raw_export(spark, folder).drop("ti").repartition(4, "title").sortWithinPartitions("doc_id").drop("doc_id")
+    raw.write.option("header", "true").option("escape", '"').csv(path)
     query = ingest_stream(spark, path, out, _scratch(spark, "stream-checkpoint"), max_files=2)
     query.awaitTermination()
-    return read_ingested(spark, out).select("title").distinct()
+    return _fields(read_ingested(spark, out))
 
 
 def unify_and_store(spark, folder):
     path, out = _scratch(spark, "unify-exports"), _scratch(spark, "unified")
-    raw = raw_export(spark, folder).drop("doc_id", "ti")
+    # files and rows in the order of ids, so that the first record of a title is known
+    raw = raw_export(spark, folder).drop("ti").repartitionByRange("doc_id").sortWithinPartitions("doc_id").drop("doc_id")
     raw.write.option("header", "true").option("escape", '"').csv(path)
     write_unified(unify(spark, path), out)
-    return read_unified(spark, out).select("title")
+    return _fields(read_unified(spark, out))
 
 
 def union_exports(spark, folder):
