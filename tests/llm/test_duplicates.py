@@ -67,6 +67,13 @@ def test_components_equal_all_pairs(spark, width, num):
     assert {r.doc_id: r.n_shingles for r in got} == sizes
 
 
+def test_bands_find_the_same_components(spark):
+    rows = near_copies(11)
+    docs = spark.createDataFrame([(d, t, "i", 0, "k") for d, t in rows], DOCS)
+    got = {r.doc_id: r.component_id for r in jaccard_components(docs, width=5, num=80, miss=1e-9).collect()}
+    assert got == plain_components(rows, 5, 80, 100)[0]
+
+
 def test_split_components_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(near_groups, "CELL_WEIGHT", 300)
     rows = near_copies(5, groups=4, size=25)
