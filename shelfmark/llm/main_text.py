@@ -25,6 +25,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelfmark.llm.rows import placed
 from shelfmark.session import cut
 
 # ---- fixed values: the vocabulary of HTML --------------------------------------------
@@ -145,15 +146,11 @@ def page_blocks(html: str | None) -> list[tuple[int, str]]:
     return blocks
 
 
-_BLOCKS = pa.struct([("zone", pa.int32()), ("text", pa.string())])
-
-
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tokens of each page outside a marked article."""
     for batch in batches:
-        rows = [[{"zone": z, "text": t} for z, t in page_blocks(html.as_py())] for html in batch.column("_html")]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("_id"), batch.column("_url"), batch.column("_key"), pa.array(rows, pa.list_(_BLOCKS))], names=["_id", "_url", "_key", "blocks"]
-        )
+        rows = [[t for z, text in page_blocks(html.as_py()) if z != ARTICLE for t in text.split(" ")] for html in batch.column("html")]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("host"), pa.array(rows, pa.list_(pa.string()))], names=["key", "host", "tokens"])
 
 
 def host_of(url: Column) -> Column:
@@ -191,37 +188,36 @@ def main_texts(
     key = F.xxhash64(F.col(id_col), F.col(url_col), F.col(html_col))
     id_type = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), key.alias("_key"), F.col(html_col).alias("_html"))
-    schema = f"_id {id_type}, _url string, _key bigint, blocks array<struct<zone:int,text:string>>"
-    parsed = cut(rows.mapInArrow(_parsed, schema))
-    around = F.filter("blocks", lambda b: b["zone"] != ARTICLE)
-    words = F.flatten(F.transform(around, lambda b: F.split(b["text"], " ")))
-    streams = parsed.select(F.col("_key").alias("key"), F.coalesce(host_of(F.col("_url")), F.lit("")).alias("host"), words.alias("tokens")).dropDuplicates(["key"])
-    gone = shared_runs(streams, run, min_pages).groupBy("key").agg(F.collect_set("at").alias("starts"))
-    met = parsed.join(gone.withColumnRenamed("key", "_gone"), F.col("_key") == F.col("_gone"), "left")
+    host = F.coalesce(host_of(F.col("_url")), F.lit(""))
+    around = rows.select(F.col("_key").alias("key"), host.alias("host"), F.col("_html").alias("html"))
+    # pages are parsed again for their text: streams are a small part of them, texts are not written
+    streams = cut(around.mapInArrow(_around, "key bigint, host string, tokens array<string>").dropDuplicates(["key"]))
+    gone = cut(shared_runs(streams, run, min_pages).groupBy(F.col("key").alias("_gone")).agg(F.collect_set("at").alias("starts")))
+    met = rows.join(placed(gone), F.col("_key") == F.col("_gone"), "left")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [kept_text(b.as_py(), s.as_py(), run) for b, s in zip(batch.column("blocks"), batch.column("starts"))]
+            kept = [kept_text(page_blocks(h.as_py()), s.as_py(), run) for h, s in zip(batch.column("_html"), batch.column("starts"))]
             texts = [t for t, _ in kept]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_id"), batch.column("_url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([n for _, n in kept], pa.int64())],
                 names=[id_col, url_col, "text", "n_chars", "n_shared"],
             )
 
-    return met.select("_id", "_url", "blocks", "starts").mapInArrow(written, f"`{id_col}` {id_type}, `{url_col}` string, text string, n_chars bigint, n_shared bigint")
+    return met.select("_id", "_url", "_html", "starts").mapInArrow(written, f"`{id_col}` {id_type}, `{url_col}` string, text string, n_chars bigint, n_shared bigint")
 
 
-def kept_text(blocks: list[dict], starts: list[int] | None, run: int) -> tuple[str, int]:
+def kept_text(blocks: list[tuple[int, str]], starts: list[int] | None, run: int) -> tuple[str, int]:
     """The text of a page without its chrome and without tokens of open blocks that shared runs
     cover, and the number of covered tokens."""
     covered = {t for s in starts or () for t in range(s - 1, s - 1 + run)}
     out, at = [], 0
-    for b in blocks:
-        if b["zone"] == ARTICLE:
-            out.append(b["text"])
+    for zone, text in blocks:
+        if zone == ARTICLE:
+            out.append(text)
             continue
-        tokens = b["text"].split(" ")
-        if b["zone"] == OPEN:
+        tokens = text.split(" ")
+        if zone == OPEN:
             own = [t for k, t in enumerate(tokens, at) if k not in covered]
             out += [" ".join(own)] if own else []
         at += len(tokens)
