@@ -27,6 +27,8 @@ ENDS[[ord(c) for c in ".!?\n"]] = True
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 PREFIXES = (4, 5, 6)
+#: Texts whose features are held at once while fitting.
+FIT_TEXTS = 100
 
 
 def sentence_features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -67,27 +69,37 @@ def fit_bags(texts: list[str], toxic: np.ndarray, weight: np.ndarray, min_docs:
     Features of fewer than ``min_docs`` documents, and those whose share of toxic documents is
     less than ``contrast`` standard errors off the mean, are left out.
     """
-    buf, offs = text_bytes(pa.array(texts, pa.string()))
-    begin, _, row, keys, of = sentence_features(buf, offs)
-    every, at = distinct(keys, row[of], len(texts))
-    holder = np.repeat(np.arange(len(texts)), np.diff(at))
-    kept, which, n_docs = np.unique(every, return_inverse=True, return_counts=True)
+    parts = [(i, pa.array(texts[i : i + FIT_TEXTS], pa.string())) for i in range(0, len(texts), FIT_TEXTS)]
+    kept, n_docs, n_toxic = np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(0, np.float32)
+    for i, part in parts:
+        _, _, row, keys, of = sentence_features(*text_bytes(part))
+        every, at = distinct(keys, row[of], len(part))
+        is_toxic = np.repeat(toxic[i : i + len(part)], np.diff(at)).astype(np.float32)
+        keys = np.concatenate([kept, every])
+        kept, which = np.unique(keys, return_inverse=True)
+        n_docs = np.bincount(which, np.concatenate([n_docs, np.ones(len(every), np.float32)]), minlength=len(kept)).astype(np.float32)
+        n_toxic = np.bincount(which, np.concatenate([n_toxic, is_toxic]), minlength=len(kept)).astype(np.float32)
     mean = toxic.mean() if len(toxic) else 0.0
-    n_toxic = np.bincount(which, toxic[holder], minlength=len(kept)) if len(kept) else np.zeros(0)
     off = np.abs(n_toxic - mean * n_docs) / np.sqrt(np.maximum(n_docs * mean * (1 - mean), 1e-9))
     kept = kept[(n_docs >= min_docs) & (off >= contrast)]
     bias = -4.0
     if not len(kept) or not toxic.any() or toxic.all():
         rate = float(np.average(toxic, weights=weight)) if len(toxic) else 0.0
         return BagModel(kept[:0], np.zeros(0), float(np.log(max(rate, 1e-3)) - 2))
-    slot = np.minimum(np.searchsorted(kept, keys), len(kept) - 1)
-    hit = kept[slot] == keys
-    cell = np.unique(of[hit] * len(kept) + slot[hit])
+    cells, rows, n_sentences = [], [], 0
+    for i, part in parts:
+        begin, _, row, keys, of = sentence_features(*text_bytes(part))
+        slot = np.minimum(np.searchsorted(kept, keys), len(kept) - 1)
+        hit = kept[slot] == keys
+        cells.append(np.unique((of[hit] + n_sentences) * len(kept) + slot[hit]))
+        rows.append(row + i)
+        n_sentences += len(begin)
+    cell, row = np.concatenate(cells), np.concatenate(rows)
     sent, feat = cell // len(kept), cell % len(kept)
     w, step_w, step_b = np.zeros(len(kept)), np.full(len(kept), 1e-8), 1e-8
     share = weight / weight.sum()
     for _ in range(rounds):
-        z = bias + np.bincount(sent, w[feat], minlength=len(begin))
+        z = bias + np.bincount(sent, w[feat], minlength=n_sentences)
         total = np.bincount(row, np.logaddexp(0, z), minlength=len(texts))
         pull = share * np.where(toxic, -1 / np.maximum(np.expm1(np.minimum(total, 50)), 1e-6), 1.0)
         g = pull[row] / (1 + np.exp(-z))
@@ -130,7 +142,7 @@ def toxicity_scores(
     docs: DataFrame,
     labels: DataFrame,
     learn: Column | None = None,
-    most_labels: int = 3000,
+    most_labels: int = 2000,
     threshold: float = 0.3,
     id_col: str = "doc_id",
     text_col: str = "text",
