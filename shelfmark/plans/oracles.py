@@ -378,10 +378,9 @@ def oracles() -> dict[str, str]:
         "dbscan_clusters": lambda: _dbscan(0.7),
         "silhouette_euclidean": lambda: _silhouette("lang", "sqrt(greatest(qx + qy - 2 * dot, 0))"),
         "silhouette_cosine": lambda: _silhouette("source", "1 - dot"),
-        "cluster_sizes": """SELECT 'lang' AS method, (dense_rank() OVER (ORDER BY lang))::INTEGER AS label, count(*) AS n
-            FROM documents GROUP BY lang""",
-        "cluster_members": f"""{corpus}, r AS (SELECT *, dense_rank() OVER (ORDER BY lang) AS label FROM corpus)
-            SELECT id, title FROM r WHERE label = 2""",
+        "cluster_sizes": lambda: f"SELECT 'DBSCAN' AS method, label, count(*) AS n FROM ({_dbscan(0.7)}) GROUP BY label",
+        "cluster_members": lambda: f"""SELECT id, split_part(text, chr(10), 1) AS title
+            FROM ({_dbscan(0.7)}) JOIN documents ON doc_id = id WHERE label = 0""",
     }
     sql.update({f"{n}_pairs": _pair_score(n) for n in ("jaccard", "hamming_words", "dice")})
     return {name: text for name, text in ((n, _text(n, t)) for n, t in sql.items()) if text is not None}

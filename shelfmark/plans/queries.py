@@ -387,7 +387,8 @@ def ward_tree(spark, folder):
 
 
 def ward_clusters(spark, folder):
-    return cut_tree(ward_linkage(_vectorised(spark, folder).vectors), 3)
+    vectors = _vectorised(spark, folder).vectors
+    return cut_tree(ward_linkage(vectors), 3, vectors)
 
 
 def kmeans_clusters(spark, folder):
@@ -434,16 +435,13 @@ def cluster_tables(spark, folder):
     return clustering.assignments_wide(_clustering(spark, folder).assignments, doc)
 
 
-def _language_groups(spark, folder) -> DataFrame:
-    return _by(spark, folder, "lang").withColumn("method", F.lit("lang"))
-
-
 def cluster_sizes(spark, folder):
-    return clustering.cluster_sizes(_language_groups(spark, folder))
+    found = dbscan(_vectorised(spark, folder).vectors)
+    return clustering.cluster_sizes(found.withColumn("method", F.lit(clustering.DBSCAN)))
 
 
 def cluster_members(spark, folder):
-    return lookup.cluster_members(_by(spark, folder, "lang"), corpus(spark, folder), 2).select("id", "title")
+    return lookup.cluster_members(dbscan(_vectorised(spark, folder).vectors), corpus(spark, folder), 0).select("id", "title")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
