@@ -30,6 +30,8 @@ from shelfmark.session import cut
 PIECE = 64
 #: Most list entries that travel by broadcast; beyond, texts are shuffled by id.
 BROADCAST_ENTRIES = 1_000_000
+#: Bytes of text whose anchors are sought at once; a longer text is sought alone.
+ANCHOR_BYTES = 1 << 19
 #: Bytes of runs sorted at once.
 SORT_BYTES = 1 << 21
 
@@ -110,7 +112,7 @@ def _listed(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list[np.ndarray]] = [[] for _ in range(5)]
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", ANCHOR_BYTES):
                 row, first, distance, more, piece, whole = anchors(*text_bytes(part.column("text")), width)
                 ids, h = part.column("id").to_numpy(), part.column("h").to_numpy()
                 for col, x in zip(cols, (piece, whole, ids[row], h[row], _packed(first, distance, more))):
