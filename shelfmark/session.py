@@ -55,9 +55,3 @@ def width(spark: SparkSession) -> int:
     """Partitions for steps whose work is far larger than their bytes, so that small
     partitions are not merged again."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def widen(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan of fewer splits than there are cores; a large scan stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

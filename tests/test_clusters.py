@@ -91,6 +91,13 @@ def brute_dbscan(x, eps, min_samples):
     return labels
 
 
+def test_dbscan_with_zero_vectors_in_reach(spark):
+    x = np.array([[1.0, 0.0], [-1.0, 0.0], [0.0, 0.0], [0.0, 0.0]])
+    near = {r["id"]: r["label"] for r in dbscan(frame(spark, x), 1.0, 2).collect()}
+    far = {r["id"]: r["label"] for r in dbscan(frame(spark, x), 0.9, 2).collect()}
+    assert set(near.values()) == {0} and far[2] == far[3] == -1
+
+
 @pytest.mark.parametrize("eps,min_samples,block_rows", [(0.05, 2, 4096), (0.05, 4, 16), (0.02, 3, 16), (0.3, 2, 20)])
 def test_dbscan_matches_brute_force(spark, eps, min_samples, block_rows):
     x = points(1)
