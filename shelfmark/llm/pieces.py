@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 #: Entries that a task remembers for runs and for pairs of pieces; the memory starts anew when full.
-REMEMBERED = 600_000
+REMEMBERED = 150_000
 
 
 class PieceCodec:
