@@ -204,3 +204,34 @@ def test_paragraphs_equal_all_pairs(spark):
     for d, t in rows:
         lines = [x for p, x in enumerate((t or "").split("\n")) if (d, p) not in gone]
         assert kept[d] == (None if t is None else "\n".join(lines))
+
+
+def test_passages_inside_lines_and_over_lines_go(spark):
+    draw = random.Random(12)
+    words = lambda n: [f"w{draw.randrange(50_000)}" for _ in range(n)]
+    passages = [words(120) for _ in range(6)]
+    rows, own = [], {}
+    for i, passage in enumerate(passages * 3):
+        before, after = words(150), words(150)
+        if i < 12:
+            text = " ".join([*before, *passage, *after])  # inside one longer line
+        else:
+            every = [*before, *passage, *after]  # hard-wrapped
+            text = "\n".join(" ".join(every[k : k + 9]) for k in range(0, len(every), 9))
+        rows.append((i, text))
+        own[i] = before, passage, after
+    docs = spark.createDataFrame([(d, t, "i", 0, "k") for d, t in rows], DOCS)
+    found = {r.doc_id: r for r in paragraph_removals(docs).collect()}
+    left = {r.doc_id: r.text.split() for r in without_paragraphs(docs).collect()}
+    lost = 0
+    for d, text in rows:
+        before, passage, after = own[d]
+        # a unit over an end of the passage is similar with a few other words
+        assert found[d].n_removed == 0 and left[d][:140] == before[:140] and left[d][-140:] == after[-140:]
+        if d < 6:
+            assert found[d].n_passages == 0 and left[d] == text.split()
+        else:
+            (span,) = found[d].passages
+            assert len(set(text.encode()[span.begin : span.end].decode().split()) - set(passage)) <= 10
+            lost += len(text.split()) - len(left[d])
+    assert lost >= 0.6 * 12 * 120
