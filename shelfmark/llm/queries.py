@@ -39,7 +39,7 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
     held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(True))
     found = toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"), learn=~held_out)
-    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "worst_begin", "worst_end", "worst_score")
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "worst_begin", "worst_end", "worst_score", "sentences")
 
 
 def op4_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:

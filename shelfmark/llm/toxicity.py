@@ -144,14 +144,16 @@ def toxicity_scores(
     learn: Column | None = None,
     most_labels: int = 2000,
     threshold: float = 0.3,
+    offence: float = 0.3,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
 ) -> DataFrame:
-    """(id, score, predicted, worst_begin, worst_end, worst_score) for every row of ``docs``.
+    """(id, score, predicted, worst_begin, worst_end, worst_score, sentences) for every row of ``docs``.
 
     ``learn`` says which rows of ``labels`` may be learned from. The worst sentence is given
-    by its byte span in the text. Null texts and texts without sentences score 0 with a null
+    by its byte span in the text, offence or not; ``sentences`` are the spans and chances of all
+    sentences whose chance is ``offence`` or more, in their order. Null texts and texts without sentences score 0 with a null
     span. Null and repeated ids are passed on with their own score; ties go to the first
     sentence. Without labels of both kinds the score is a small constant per sentence. Of the
     inputs only the named columns are read.
@@ -173,11 +175,17 @@ def toxicity_scores(
                 none[row[lead]] = False
                 for col, x in zip(span, (begin[lead] - offs[row[lead]], end[lead] - offs[row[lead]], 1 / (1 + np.exp(-z[lead])))):
                     col[row[lead]] = x
+                chance = 1 / (1 + np.exp(-z))
+                bad = np.flatnonzero(chance >= offence)
+                bad = bad[np.lexsort((begin[bad], row[bad]))]
+                at = np.concatenate([[0], np.cumsum(np.bincount(row[bad], minlength=len(part)))])
+                shift = offs[row[bad]]
+                each = pa.StructArray.from_arrays([pa.array(begin[bad] - shift), pa.array(end[bad] - shift), pa.array(chance[bad])], names=["begin", "end", "score"])
                 score = -np.expm1(-total)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32)), *(pa.array(c, mask=none) for c in span)],
-                    names=[id_col, "score", "predicted", "worst_begin", "worst_end", "worst_score"],
+                    [part.column("_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32)), *(pa.array(c, mask=none) for c in span), pa.ListArray.from_arrays(pa.array(at, pa.int32()), each)],
+                    names=[id_col, "score", "predicted", "worst_begin", "worst_end", "worst_score", "sentences"],
                 )
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(scored, f"`{id_col}` {id_type}, score double, predicted int, worst_begin bigint, worst_end bigint, worst_score double")
+    return rows.mapInArrow(scored, f"`{id_col}` {id_type}, score double, predicted int, worst_begin bigint, worst_end bigint, worst_score double, sentences array<struct<begin:bigint,end:bigint,score:double>>")

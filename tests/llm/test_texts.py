@@ -134,6 +134,20 @@ def test_toxic_documents_and_sentences(spark):
     assert len(none) == len(rows) + len(ODD) and all(0 <= r.score <= 1 for r in none)
 
 
+def test_all_toxic_sentences_of_a_document(spark):
+    rows, toxic, _ = made_documents()
+    two = "er an ing. the vileword er. an an ing th. a nastyword too. an er"
+    docs = spark.createDataFrame(rows + [(8000, two, "en", "s", "x")] + ODD, DOCS)
+    labels = spark.createDataFrame(toxic, "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity_scores(docs, labels).collect()}
+    assert [two.encode()[s.begin : s.end].decode().strip() for s in got[8000].sentences] == ["the vileword er", "a nastyword too"]
+    assert all(s.score >= 0.3 for r in got.values() for s in r.sentences)
+    for r in got.values():
+        spans = [(s.begin, s.end) for s in r.sentences]
+        assert spans == sorted(spans) and ((r.worst_begin, r.worst_end) in spans) == (r.worst_score is not None and r.worst_score >= 0.3)
+    assert got[9001].sentences == got[9002].sentences == []
+
+
 def test_quality_ranking(spark):
     rows, _, quality = made_documents()
     docs = spark.createDataFrame(rows + ODD, DOCS)
