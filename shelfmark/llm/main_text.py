@@ -1,19 +1,19 @@
-"""Main text of web pages by a suffix array over the pages of a host.
+"""Main text of web pages by markup zones and by runs of tokens that pages of a host share.
 
 A page is parsed into blocks. Each block has a zone: what markup says is no article (menus,
 headers and footers of the page, sidebars, notices, adverts, forms, comments), what it says is
 the article, and the rest, of which markup says nothing.
 
-The blocks of a page outside a marked article are its token stream. The suffixes of the
-streams of a host, put in order, show the long runs of tokens that different pages share. Of
+The blocks of a page outside a marked article are its token stream. Equal hashes
+show the runs of tokens that different pages of a host share. Of
 blocks of which markup says nothing, tokens covered by such runs are boilerplate and go; runs
 that a page has alone are kept. Blocks that markup calls no article go whole, shared or not.
 Inside a marked article nothing goes: copies of an article and passages that articles share
 are text.
 
-The suffixes of a host are never gathered. They are ordered over the whole cluster by host and
-leading tokens, as hashes of runs of ``run`` tokens, and a run counts as shared when streams of
-different content hold it.
+No suffix array is built and no suffix is put in order: hashes of runs of ``run`` tokens are
+grouped over the whole cluster, and a run counts as shared when streams of different content of
+a host hold it. Where an article is marked, markup alone decides.
 """
 
 from __future__ import annotations
