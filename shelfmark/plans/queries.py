@@ -91,14 +91,14 @@ def csv_exports(spark, folder):
 
 
 def _bibtex(df: DataFrame) -> DataFrame:
-    """Entries with braced, quoted and bare values, braces inside values, a line that starts
+    """Entries with braced, quoted and bare values, braces nested five deep, a line that starts
     with @ in each abstract, and blocks that are no records."""
     text = lambda x: F.lit(x)
     doi = F.when(F.col("doi").isNotNull(), F.concat(text("doi = {"), F.col("doi"), text("},\n"))).otherwise(text(""))
     return df.select(
         F.concat(
             text("@comment{made for "), F.col("doc_id").cast("string"), text("}\n@article{k"), F.col("doc_id").cast("string"),
-            text(",\ntitle = {{"), F.col("line"), text("}}, year = 2026,\nauthor = \""), F.col("source"), text("\",\n"), doi,
+            text(",\ntitle = {{{{{"), F.col("line"), text("}}}}}, year = 2026,\nauthor = \""), F.col("source"), text("\",\n"), doi,
             text("abstract = {"), F.col("text"), text("\n@mail "), F.col("source"), text(" {now}}\n}\n"),
         ).alias("value")
     )

@@ -71,7 +71,23 @@ def test_bibtex_defaults_when_no_entry_has_the_field(spark, tmp_path):
     (tmp_path / "x.bib").write_text("@misc{a,\ntitle = {Only a title}\n}\n@comment stray\n")
     row = read_bibtex_exports(spark, str(tmp_path)).first()
     assert (row["authors"], row["summary"], row["published"], row["url"]) == ("Sin autor", "Sin resumen", "2024", "")
-    assert rejected_entries(spark, str(tmp_path)).count() == 1
+    lost = rejected_entries(spark, str(tmp_path)).collect()
+    assert [(r["piece"].strip(), r["reason"]) for r in lost] == [("@comment stray", "outside")]
+
+
+def test_bibtex_values_nest_to_any_depth_and_lost_pieces_have_a_reason(spark, tmp_path):
+    (tmp_path / "a.bib").write_text(
+        "% made by hand\n@article{k, title = {a {b {c {d {e, f} g}}} = h}, note = \"q, {\"} r\", YEAR=2020 }\n"
+        "@comment{nothing}\n@misc(p, title = \"In (parens), quoted\", year = {1999})\n@misc{empty}\n"
+        "@book{open, title = {Never {closed}, year = 2001}\n"
+    )
+    rows = {r["title"]: r["published"] for r in read_bibtex_exports(spark, str(tmp_path)).collect()}
+    assert rows["a b c d e, f g = h"] == "2020" and rows["In (parens), quoted"] == "1999"
+    lost = [(r["piece"].strip(), r["reason"]) for r in rejected_entries(spark, str(tmp_path)).collect()]
+    assert sorted(lost) == sorted([
+        ("% made by hand", "outside"), ("comment{nothing}", "no record"), ("misc{empty}", "no fields"),
+        ("book{open, title = {Never {closed}, year = 2001}", "no end"),
+    ])
 
 
 def test_unify_keeps_the_first_title_and_round_trips(spark, folder, tmp_path):
