@@ -8,16 +8,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Folder of the public tokenizer files; its path is a parameter of the operators.
 TOKENIZER = "piece_bpe_32k.model"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path(TOKENIZER))
+    return str(public_tokenizers.path(name))
 
 
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,6 +91,20 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return paragraph_removals(table(spark, folder, "documents"))
 
 
+def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from shelfmark.llm.byte_pairs import byte_codes
+
+    return byte_codes(table(spark, folder, "documents"), tokenizer_path(RANKS), public_tokenizers.PATTERN)
+
+
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfmark.llm.ranked_search import ranked_documents
+
+    return ranked_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -101,8 +116,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_ranked_search": op13_ranked_search,
 }
 
+
 def _rules_sql(alpha: float = 0.02, delta: float = 0.05) -> str:
     """The stats by joins over words and lines, the certified cutoffs by summed binomial terms."""
     from shelfmark.llm.quality_rules import CUTOFFS
@@ -197,4 +215,21 @@ SELECT g.doc_id, len(g.s)::BIGINT AS n_shingles, coalesce(c, g.doc_id) AS compon
 FROM g LEFT JOIN class ON class.s = list_sort(g.s) LEFT JOIN comp USING (rep)"""
 
 
-ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": _JOIN_SQL, "op1_quality_rules": _rules_sql(), "op6_decontamination": _HITS_SQL}
+_SEARCH_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+total AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d),
+tf AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY ALL),
+held AS (SELECT * FROM tf WHERE t IN (SELECT t FROM q)),
+weight AS (
+  SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM held, total GROUP BY t),
+score AS (
+  SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM q JOIN held USING (t) JOIN weight USING (t), total GROUP BY item_id, r, doc_id),
+best AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+  FROM score WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM best WHERE rank <= 10"""
+
+
+ORACLES: dict[str, str] = {"op13_ranked_search": _SEARCH_SQL, "op2_ngram_jaccard_join": _JOIN_SQL, "op1_quality_rules": _rules_sql(), "op6_decontamination": _HITS_SQL}
