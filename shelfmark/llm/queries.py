@@ -91,6 +91,12 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return paragraph_removals(table(spark, folder, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfmark.llm.conversation_trie import conversation_trie
+
+    return conversation_trie(table(spark, folder, "conversations"))
+
+
 def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -116,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_byte_bpe": op12_byte_bpe,
     "op13_ranked_search": op13_ranked_search,
 }
@@ -232,4 +239,34 @@ best AS (
 SELECT item_id, rank, doc_id, score FROM best WHERE rank <= 10"""
 
 
-ORACLES: dict[str, str] = {"op13_ranked_search": _SEARCH_SQL, "op2_ngram_jaccard_join": _JOIN_SQL, "op1_quality_rules": _rules_sql(), "op6_decontamination": _HITS_SQL}
+#: CRC-32 of the decimal digits of conv_id, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, range(0, 8 * length(conv_id::VARCHAR))),
+    lambda a, k: CASE WHEN (CASE WHEN k % 8 = 0 THEN xor(a, ascii(substr(conv_id::VARCHAR, (k // 8 + 1)::BIGINT, 1))::BIGINT) ELSE a END) & 1 = 1
+      THEN xor((CASE WHEN k % 8 = 0 THEN xor(a, ascii(substr(conv_id::VARCHAR, (k // 8 + 1)::BIGINT, 1))::BIGINT) ELSE a END) >> 1, 3988292384::BIGINT)
+      ELSE (CASE WHEN k % 8 = 0 THEN xor(a, ascii(substr(conv_id::VARCHAR, (k // 8 + 1)::BIGINT, 1))::BIGINT) ELSE a END) >> 1 END), 4294967295::BIGINT)"""
+
+_TRIE_SQL = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, {_CRC} % 4 AS h,
+    list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text)) AS turns
+  FROM t GROUP BY conv_id),
+path AS (
+  SELECT c.conv_id, list_concat(coalesce(o.turns[1 : c.h], []), c.turns[c.h + 1 :]) AS turns
+  FROM c LEFT JOIN c o ON o.conv_id = c.conv_id - c.conv_id % 20),
+member AS (SELECT conv_id, len(turns) AS size, depth, turns[1 : depth] AS key FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS depth FROM path)),
+node AS (
+  SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256,
+    CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(key[-1].text, '[^\x20\x09-\x0D]+')) END AS words
+  FROM member GROUP BY depth, key),
+kid AS (SELECT key[1 : depth - 1] AS key, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL),
+whole AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kid USING (key)),
+up AS (SELECT key[1 : above] AS key, n_children, n_convs, words FROM (SELECT *, unnest(range(0, depth + 1)) AS above FROM whole)),
+sums AS (
+  SELECT key, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words)::BIGINT AS saved_tokens FROM up GROUP BY key)
+SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256
+FROM whole w JOIN sums USING (key) LEFT JOIN node p ON w.depth > 0 AND p.key = w.key[1 : w.depth - 1]"""
+
+
+ORACLES: dict[str, str] = {"op11_conversation_trie": _TRIE_SQL, "op13_ranked_search": _SEARCH_SQL, "op2_ngram_jaccard_join": _JOIN_SQL, "op1_quality_rules": _rules_sql(), "op6_decontamination": _HITS_SQL}
