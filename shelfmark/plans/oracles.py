@@ -367,6 +367,7 @@ def oracles() -> dict[str, str]:
               round({_cosine('va', 'vb')}, 5) AS cosine_embedding, round({_cosine('va', 'vb')}, 5) AS semantic_mean
             FROM scores s JOIN lev USING (id_a, id_b) LEFT JOIN cosines USING (id_a, id_b) LEFT JOIN emb USING (id_a, id_b)""",
         "jaccard_pairs_over": _set_join(_words("text"), "jaccard", q.JACCARD_MIN),
+        "minhash_pairs_over": _set_join(_words("text"), "jaccard", q.JACCARD_MIN),
         "dice_pairs_over": _set_join(_grams("text"), "dice", q.DICE_MIN),
         "cosine_pairs_over": _cosine_join(q.COSINE_MIN),
         "embedding_neighbours": f"""WITH p AS (

@@ -12,6 +12,7 @@ from shelfmark.functions.text import extract_year
 from shelfmark.operators import lookup, pair_scores, records, tagging, terms, timeline as tl
 from shelfmark.operators.dbscan import dbscan
 from shelfmark.operators.kmeans import kmeans
+from shelfmark.operators.minhash_join import minhash_join
 from shelfmark.operators.neighbours import embedding_topk
 from shelfmark.operators.silhouette import density_score, silhouette
 from shelfmark.operators.similarity_join import cosine_join, dice_join, jaccard_join
@@ -356,6 +357,11 @@ def jaccard_pairs_over(spark, folder):
     return _rounded(jaccard_join(_texts(spark, folder), JACCARD_MIN), "score")
 
 
+def minhash_pairs_over(spark, folder):
+    # one pair in a million at the threshold may be missing
+    return _rounded(minhash_join(_texts(spark, folder), JACCARD_MIN, recall=1 - 1e-6), "score")
+
+
 def dice_pairs_over(spark, folder):
     return _rounded(dice_join(_texts(spark, folder), DICE_MIN), "score")
 
@@ -453,7 +459,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tag_country_words, tag_nation, country_counts, headline, year_of_date, year_of_text,
         valid_years, timeline, timeline_long, timeline_one_source, report_cloud,
         tfidf_cosine_pairs, embedding_cosine_pairs, semantic_mean_pairs, pair_report,
-        jaccard_pairs_over, dice_pairs_over, cosine_pairs_over, embedding_neighbours,
+        jaccard_pairs_over, minhash_pairs_over, dice_pairs_over, cosine_pairs_over, embedding_neighbours,
         tfidf_vectors, ward_tree, ward_clusters, kmeans_clusters, dbscan_clusters,
         silhouette_euclidean, silhouette_cosine, density_silhouette, model_comparison,
         cluster_tables, cluster_sizes, cluster_members,
