@@ -46,6 +46,20 @@ def present_or_null(col: Column) -> Column:
     return F.when(~col.isin(*NULL_TEXTS), col)
 
 
+def unified_fields(pick, candidates: dict[str, Sequence[str]] | None = None) -> list[Column]:
+    """title, authors, summary, published, url out of raw cells; ``pick(candidates)`` gives a cell."""
+    field = {
+        name: clean(present_or_null(pick(cands))) for name, cands in (candidates or FIELD_CANDIDATES).items()
+    }
+    return [
+        field["title"].alias("title"),
+        field["authors"].alias("authors"),
+        summary_or_placeholder(field["summary"]).alias("summary"),
+        field["published"].alias("published"),
+        doi_url(field["url"]).alias("url"),
+    ]
+
+
 def normalize_csv(
     df: DataFrame, candidates: dict[str, Sequence[str]] | None = None, keep: Sequence[str] = ()
 ) -> DataFrame:
@@ -54,19 +68,8 @@ def normalize_csv(
     Titles of five characters or fewer are dropped; abstracts of twenty or fewer get the
     fixed text. Both are projections and filters of one scan.
     """
-    candidates = candidates or FIELD_CANDIDATES
-    field = {
-        name: clean(present_or_null(pick_column(df, cands))) for name, cands in candidates.items()
-    }
-    out = df.select(
-        field["title"].alias("title"),
-        field["authors"].alias("authors"),
-        summary_or_placeholder(field["summary"]).alias("summary"),
-        field["published"].alias("published"),
-        doi_url(field["url"]).alias("url"),
-        *[F.col(c) for c in keep],
-    )
-    return out.where(F.length("title") > 5)
+    fields = unified_fields(lambda cands: pick_column(df, cands), candidates)
+    return df.select(*fields, *[F.col(c) for c in keep]).where(F.length("title") > 5)
 
 
 def union_exports(*frames: DataFrame) -> DataFrame:
