@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from shelfmark.operators.blocks import BLOCK_ROWS, block_pairs, chunks, matrix, numbers
+from shelfmark.session import cut
 
 
 def _best(ids: np.ndarray, other: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
@@ -44,16 +45,106 @@ def embedding_topk(
     A zero vector has similarity 0 to all. A cell hands on k rows per point, so the merge
     sees k rows per point and block.
     """
+    near = block_pairs(_unit(vectors, id_col, vector_col), _top(k), "rep long, partner long, sim double", block_rows)
+    return _ranked(near, k)
+
+
+def _unit(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(rep, v): vectors of unit length, zero vectors as they are."""
     v = F.transform(vector_col, lambda x: x.cast("double"))
     raw = vectors.select(F.col(id_col).cast("long").alias("rep"), v.alias("v"))
     norm = F.sqrt(F.aggregate(F.transform("v", lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
-    unit = raw.withColumn("norm", norm).select(
+    return raw.withColumn("norm", norm).select(
         "rep", F.when(F.col("norm") > 0, F.transform("v", lambda x: x / F.col("norm"))).otherwise(F.col("v")).alias("v")
     )
-    near = block_pairs(unit, _top(k), "rep long, partner long, sim double", block_rows)
+
+
+def _ranked(near: DataFrame, k: int) -> DataFrame:
     best_first = Window.partitionBy("rep").orderBy(F.desc("sim"), "partner")
     return (
         near.withColumn("rank", F.row_number().over(best_first))
         .where(F.col("rank") <= k)
         .select(F.col("rep").alias("id"), F.col("partner").alias("neighbour"), "rank", "sim")
     )
+
+
+def _codes(planes: np.ndarray, probes: int):
+    """Arrow function: each row at its own cell in every table, and at the ``probes`` nearest other cells."""
+    tables, bits, dim = planes.shape
+
+    def run(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            table = pa.Table.from_batches([batch])
+            v = matrix(table)
+            at = v @ planes.reshape(tables * bits, dim).T
+            at = at.reshape(len(v), tables, bits)
+            own = (at > 0) @ (1 << np.arange(bits, dtype=np.int64))
+            nearest = np.argsort(np.abs(at), axis=2)[:, :, :probes]  # the planes that a vector is closest to
+            rows = np.arange(len(v))
+            for t in range(tables):
+                cells = [(own[:, t], True)] + [(own[:, t] ^ (np.int64(1) << nearest[:, t, i]), False) for i in range(min(probes, bits))]
+                for code, home in cells:
+                    out = pa.Table.from_batches([batch]).take(pa.array(rows))
+                    out = out.append_column("bucket", pa.array(code * tables + t, pa.int64())).append_column("home", pa.array(np.full(len(v), home)))
+                    yield from out.to_batches()
+
+    return run
+
+
+def _best_of_bucket(k: int):
+    def kernel(key: tuple, asked: pa.Table, stored: pa.Table) -> pa.Table:
+        if asked.num_rows == 0 or stored.num_rows == 0:
+            empty = np.zeros(0, np.int64)
+            return pa.table({"rep": empty, "partner": empty, "sim": np.zeros(0)})
+        asked, stored = asked.sort_by("rep"), stored.sort_by("rep")
+        va, vb, ida, idb = matrix(asked), matrix(stored), numbers(asked, "rep"), numbers(stored, "rep")
+        pieces = []
+        for part in chunks(len(va)):
+            sims = va[part] @ vb.T
+            sims[ida[part][:, None] == idb[None, :]] = -np.inf
+            pieces.append(_best(ida[part], idb, sims, k))
+        rep, partner, sim = (np.concatenate(c) for c in zip(*pieces))
+        real = np.isfinite(sim)
+        return pa.table({"rep": rep[real], "partner": partner[real], "sim": sim[real]})
+
+    return kernel
+
+
+def embedding_topk_approx(
+    vectors: DataFrame, k: int = 5, id_col: str = "id", vector_col: str = "embedding", tables: int = 8, probes: int = 4,
+    bucket_rows: int = 256, block_rows: int = BLOCK_ROWS, seed: int = 0,
+) -> DataFrame:
+    """(id, neighbour, rank, sim): as :func:`embedding_topk`, but only among vectors that share a cell.
+
+    In each of ``tables`` sets of random hyperplanes a vector lies in the cell of its signs; there are as many
+    planes as make cells of some ``bucket_rows`` vectors. Every vector is stored in its own cell and asks there and in
+    the ``probes`` cells across the planes nearest to it. Similarities are exact; what can be missing
+    are neighbours that share none of these cells. More tables or probes raise the recall. A cell
+    with more vectors than ``block_rows`` is split, and each part of its questions meets each part of its
+    vectors, so no task holds more and no neighbour in the cell is lost. A zero vector has similarity 0 to all.
+    """
+    unit = cut(_unit(vectors, id_col, vector_col))
+    n, dim = unit.agg(F.count("*"), F.max(F.size("v"))).first()
+    if not n:
+        return vectors.sparkSession.createDataFrame([], "id long, neighbour long, rank int, sim double")
+    bits = min(48, max(0, round(np.log2(max(n, 1) / bucket_rows))))
+    planes = np.random.default_rng(seed).normal(size=(tables, bits, dim))
+    schema = "rep long, v array<double>, bucket long, home boolean"
+    placed = cut(unit.select("rep", "v").mapInArrow(_codes(planes, probes), schema))
+    sizes = placed.groupBy("bucket").agg(
+        F.ceil(F.count(F.when(F.col("home"), 1)) / block_rows).cast("int").alias("stored_parts"),
+        F.ceil(F.count("*") / block_rows).cast("int").alias("asked_parts"),
+    ).where((F.col("stored_parts") > 1) | (F.col("asked_parts") > 1))
+    rows = placed.join(sizes, "bucket", "left").fillna(1, ["stored_parts", "asked_parts"])
+    part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = rows.select("bucket", part("asked_parts").alias("p"), every("stored_parts").alias("q"), "rep", "v")
+    own = [F.col(c).alias(c) for c in ("bucket", "rep", "v")]  # columns apart from those of the other side
+    stored = rows.where("home").select(*own, every("asked_parts").alias("p"), part("stored_parts").alias("q"))
+    near = asked.groupBy("bucket", "p", "q").cogroup(stored.groupBy("bucket", "p", "q")).applyInArrow(
+        _best_of_bucket(k), "rep long, partner long, sim double"
+    )
+    # the same pair met in another table has the same similarity, up to rounding
+    return _ranked(near.groupBy("rep", "partner").agg(F.max("sim").alias("sim")), k)

@@ -214,6 +214,34 @@ ab AS (
 SELECT round(avg(CASE WHEN n = 1 OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 5) AS score FROM ab"""
 
 
+def _ward_totals() -> str:
+    return f"""
+WITH {_vectors()},
+mean AS (SELECT sum(s * s) AS m FROM (SELECT term, sum(w) AS s FROM vec GROUP BY term)),
+total AS (SELECT count(*) AS n, sum(q) AS q FROM length2)
+SELECT n - 1 AS merges, n AS documents, n - 1 AS pairs, round(q - m / n, 4) AS sum_of_squares FROM total, mean"""
+
+
+def _density_silhouette(eps: float) -> str:
+    """DBSCAN and the silhouette of its labels; 0 for one label, or one cluster and noise."""
+    found = _dbscan(eps).replace(f"WITH {_vectors()},", "", 1)
+    steps, final = found.rsplit("SELECT docs.id", 1)
+    return f"""
+WITH {_vectors()}, {steps.strip()},
+label AS MATERIALIZED (SELECT docs.id{final}),
+kinds AS (SELECT count(DISTINCT label) AS n, min(label) AS low FROM label),
+pairs AS (
+  SELECT a.id AS x, a.label AS lx, b.label AS ly, count(*) AS n,
+    sum(CASE WHEN a.id = b.id THEN 0 ELSE 1 - coalesce(dot, 0) END) AS total
+  FROM label a CROSS JOIN label b LEFT JOIN dots ON dots.x = a.id AND dots.y = b.id GROUP BY ALL),
+ab AS (
+  SELECT x, max(CASE WHEN lx = ly THEN n END) AS n,
+    max(CASE WHEN lx = ly THEN total / greatest(n - 1, 1) END) AS a, min(CASE WHEN lx <> ly THEN total / n END) AS b
+  FROM pairs GROUP BY x),
+score AS (SELECT avg(CASE WHEN n = 1 OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) AS s FROM ab)
+SELECT CASE WHEN kinds.n > 2 OR (kinds.n = 2 AND low >= 0) THEN round(s, 5) ELSE 0.0 END::DOUBLE AS score FROM score, kinds"""
+
+
 def _dbscan(eps: float, rounds: int = 12) -> str:
     steps = ["l0 AS (SELECT x AS id, min(y) AS m FROM near GROUP BY x)"]
     for i in range(1, rounds):
@@ -303,6 +331,10 @@ def oracles() -> dict[str, str]:
     sql = {
         "normalize_csv": f"{normal} title, authors, summary, published, url, doc_id FROM normal",
         "csv_exports": f"{normal} title, authors, summary, published, url FROM normal",
+        "mixed_exports": f"""{normal} title, authors, summary, published, url, CASE WHEN lang = 'en' THEN 'utf8' ELSE 'latin' END AS kind
+            FROM normal JOIN documents USING (doc_id) WHERE lang IN ('en', 'de', 'es')
+            UNION ALL SELECT split_part(text, chr(10), 1), source, text || chr(10) || '@mail ' || source || ' now', '2026', '', 'entries'
+            FROM documents WHERE lang = 'fr'""",
         "unify_and_store": first_of_title,
         "stream_ingest": first_of_title,
         "bibtex_exports": """SELECT split_part(text, chr(10), 1) AS title, source AS authors,
@@ -342,6 +374,7 @@ def oracles() -> dict[str, str]:
         "collocations": lambda: f"""WITH {_unigrams()}, {_collocations()}
             SELECT word1, word2, n, round(score, 3) AS score FROM scored""",
         "tag_country": f"{tagged} SELECT id, country FROM tagged",
+        "tag_country_dictionary": f"{tagged} SELECT id, country FROM tagged",
         "tag_country_words": f"WITH {CORPUS}, {_tagged(True)} SELECT id, country FROM tagged",
         "tag_nation": f"SELECT n_name, {_country('n_name')} AS country FROM nation",
         "country_counts": f"""{tagged} SELECT country, count(*) AS n FROM tagged WHERE country IS NOT NULL
@@ -368,6 +401,15 @@ def oracles() -> dict[str, str]:
             FROM scores s JOIN lev USING (id_a, id_b) LEFT JOIN cosines USING (id_a, id_b) LEFT JOIN emb USING (id_a, id_b)""",
         "jaccard_pairs_over": _set_join(_words("text"), "jaccard", q.JACCARD_MIN),
         "minhash_pairs_over": _set_join(_words("text"), "jaccard", q.JACCARD_MIN),
+        "levenshtein_pairs_over": f"""
+            WITH node AS (
+              SELECT title, min(id) AS id, count(*) AS copies, length(title) AS n, {_bytewise('title')} AS b
+              FROM (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title FROM documents) WHERE title <> '' GROUP BY title),
+            near AS (
+              SELECT x.id AS id_a, y.id AS id_b, x.copies AS copies_a, y.copies AS copies_b, greatest(x.n, y.n) AS n, levenshtein(x.b, y.b) AS d
+              FROM node x JOIN node y ON x.id < y.id AND x.n >= {q.LEVENSHTEIN_MIN} * y.n AND y.n >= {q.LEVENSHTEIN_MIN} * x.n)
+            SELECT id_a, id_b, copies_a, copies_b, d::INTEGER AS distance, round(1 - d / n, 6) AS score
+            FROM near WHERE 1 - d / n >= {q.LEVENSHTEIN_MIN} - 1e-9""",
         "dice_pairs_over": _set_join(_grams("text"), "dice", q.DICE_MIN),
         "cosine_pairs_over": _cosine_join(q.COSINE_MIN),
         "embedding_neighbours": f"""WITH p AS (
@@ -379,6 +421,11 @@ def oracles() -> dict[str, str]:
         "dbscan_clusters": lambda: _dbscan(0.7),
         "silhouette_euclidean": lambda: _silhouette("lang", "sqrt(greatest(qx + qy - 2 * dot, 0))"),
         "silhouette_cosine": lambda: _silhouette("source", "1 - dot"),
+        "density_silhouette": lambda: _density_silhouette(0.3),
+        "ward_totals": _ward_totals,
+        "ward_micro_totals": """SELECT count(*) - 1 AS merges, count(*) AS documents, count(*) - 1 AS pairs, 0 AS excess_pct
+            FROM documents""",
+        "kmeans_totals": "SELECT count(*) AS documents, 3::BIGINT AS clusters, 0::BIGINT AS misplaced FROM documents",
         "cluster_sizes": lambda: f"SELECT 'DBSCAN' AS method, label, count(*) AS n FROM ({_dbscan(0.7)}) GROUP BY label",
         "cluster_members": lambda: f"""SELECT id, split_part(text, chr(10), 1) AS title
             FROM ({_dbscan(0.7)}) JOIN documents ON doc_id = id WHERE label = 0""",

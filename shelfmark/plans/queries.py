@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfmark.functions.pairs import embedding_cosine, semantic_mean
 from shelfmark.functions.text import extract_year
+from shelfmark.functions.vocab import COUNTRIES
 from shelfmark.operators import lookup, pair_scores, records, tagging, terms, timeline as tl
 from shelfmark.operators.dbscan import dbscan
+from shelfmark.operators.dictionary import tag_by_dictionary
 from shelfmark.operators.kmeans import kmeans
 from shelfmark.operators.minhash_join import minhash_join
-from shelfmark.operators.neighbours import embedding_topk
+from shelfmark.operators.edit_join import levenshtein_join
+from shelfmark.operators.neighbours import embedding_topk, embedding_topk_approx
 from shelfmark.operators.silhouette import density_score, silhouette
 from shelfmark.operators.similarity_join import cosine_join, dice_join, jaccard_join
-from shelfmark.operators.vectors import Vectorised, tfidf
+from shelfmark.operators.vectors import Vectorised, as_arrays, tfidf
 from shelfmark.operators.ward import cut_tree, ward_linkage
 from shelfmark.plans import clustering
 from shelfmark.plans.report import report_tables
@@ -29,6 +32,7 @@ SEARCH_REGEX = "CIÓN|thouon"
 SEARCH_TEXT = "THE TH"
 CATEGORY = ("learn", "student", "thouon", "ciónes")
 JACCARD_MIN, DICE_MIN, COSINE_MIN = 0.8003, 0.9503, 0.8003
+LEVENSHTEIN_MIN = 0.9
 TOP_K = 5
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
@@ -91,6 +95,24 @@ def csv_exports(spark, folder):
     return _fields(read_exports(spark, path))
 
 
+def mixed_exports(spark, folder):
+    """One folder of UTF-8 CSV, Latin-1 CSV and BibTeX files; ``kind`` tells from which a record came."""
+    path = _scratch(spark, "mixed-exports")
+    raw = raw_export(spark, folder)
+    by_lang = lambda *langs: raw.where(F.col("ti").isin(*langs)).drop("doc_id", "ti")
+    cells = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    by_lang("en").write.options(**cells).csv(f"{path}/utf8")
+    by_lang("de", "es").write.options(**cells, encoding="ISO-8859-1").csv(f"{path}/latin")
+    doc = table(spark, folder, "documents").where("lang = 'fr'").select(
+        "doc_id", "source", "text", F.substring_index("text", "\n", 1).alias("line"), F.lit(None).cast("string").alias("doi")
+    )
+    # a CSV writer without quotes writes lines as they are, and names its files as it is told
+    plain = {"quote": "", "sep": "\x01", "extension": "bib", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    _bibtex(doc).write.options(**plain).csv(f"{path}/entries")
+    kind = F.regexp_extract("archivo", r"/(utf8|latin|entries)/[^/]*\.(?:csv|bib)$", 1)
+    return read_exports(spark, path).select("title", "authors", "summary", "published", "url", kind.alias("kind"))
+
+
 def _bibtex(df: DataFrame) -> DataFrame:
     """Entries with braced, quoted and bare values, braces nested five deep, a line that starts
     with @ in each abstract, and blocks that are no records."""
@@ -226,6 +248,16 @@ def tag_country(spark, folder):
     return tagging.tag_country(corpus(spark, folder)).select("id", "country")
 
 
+def tag_country_dictionary(spark, folder):
+    """The countries by a dictionary table that also holds 50,000 variants of places nobody names."""
+    known = [(c, v, i) for i, (c, variants) in enumerate(COUNTRIES.items()) for v in variants]
+    places = spark.range(50_000).select(
+        F.concat(F.lit("Place "), "id").alias("name"), F.concat(F.lit("qx-place-"), "id", F.lit("-xq")).alias("variant"), F.lit(0).alias("priority")
+    )
+    dictionary = spark.createDataFrame(known, "name string, variant string, priority int").unionByName(places)
+    return tag_by_dictionary(corpus(spark, folder), dictionary, ("authors", "summary"), "country").select("id", "country")
+
+
 def tag_country_words(spark, folder):
     return tagging.tag_country(corpus(spark, folder), mode="word").select("id", "country")
 
@@ -366,6 +398,11 @@ def dice_pairs_over(spark, folder):
     return _rounded(dice_join(_texts(spark, folder), DICE_MIN), "score")
 
 
+def levenshtein_pairs_over(spark, folder):
+    """Titles that differ in a tenth of their characters at most."""
+    return _rounded(levenshtein_join(corpus(spark, folder), LEVENSHTEIN_MIN, text_col="title"), "score")
+
+
 def cosine_pairs_over(spark, folder):
     return _rounded(cosine_join(_texts(spark, folder), COSINE_MIN), "score")
 
@@ -375,6 +412,11 @@ def embedding_neighbours(spark, folder):
     return _rounded(embedding_topk(vec, TOP_K, "vec_id"), "sim", 5)
 
 
+def embedding_neighbours_approx(spark, folder):
+    vec = table(spark, folder, "embeddings")
+    return _rounded(embedding_topk_approx(vec, TOP_K, "vec_id"), "sim", 5)
+
+
 # ---- vectors and clusters -----------------------------------------------------------
 
 
@@ -396,10 +438,50 @@ def ward_clusters(spark, folder):
     return cut_tree(ward_linkage(vectors), 3, vectors)
 
 
+def _ward_totals(z: DataFrame) -> DataFrame:
+    """Numbers that ties between merges do not move: half the squared heights of an exact tree add up
+    to the sum of squares around the mean."""
+    return z.agg(
+        F.count("*").alias("merges"), F.max("size").alias("documents"), F.countDistinct("left", "right").alias("pairs"),
+        F.round(F.sum(F.col("height") * F.col("height")) / 2, 4).alias("sum_of_squares"),
+    )
+
+
+def ward_totals(spark, folder):
+    return _ward_totals(ward_linkage(_vectorised(spark, folder).vectors))
+
+
+def ward_micro_totals(spark, folder):
+    """Numbers of a tree over 200 micro-clusters, and how far its sum of squares is above the true one."""
+    vectors = cut(_vectorised(spark, folder).vectors)
+    entries = as_arrays(vectors).select("id", F.posexplode("v").alias("pos", "x"))
+    sums = entries.groupBy("pos").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("n"))
+    true = sums.agg(F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("true"))
+    found = _ward_totals(ward_linkage(vectors, max_exact=200))
+    excess = F.floor((F.col("sum_of_squares") / F.col("true") - 1) * 100 + 1e-6).cast("int")
+    return found.join(F.broadcast(true)).select("merges", "documents", "pairs", excess.alias("excess_pct"))
+
+
 def kmeans_clusters(spark, folder):
     return kmeans(_vectorised(spark, folder).vectors)
 
 
+def kmeans_totals(spark, folder):
+    """Numbers that hold whatever the starts were: documents, clusters, and documents that lie nearer to the
+    mean of another cluster than to that of their own."""
+    vectors = cut(_vectorised(spark, folder).vectors)
+    found = cut(kmeans(vectors))
+    entries = as_arrays(vectors).select("id", F.posexplode("v").alias("pos", "x")).join(found, "id")
+    means = entries.groupBy("label", "pos").agg(F.avg("x").alias("m"))
+    gaps = entries.select("id", F.col("label").alias("own"), "pos", "x").join(F.broadcast(means), "pos")
+    square = gaps.groupBy("id", "own", "label").agg(F.sum((F.col("x") - F.col("m")) * (F.col("x") - F.col("m"))).alias("d"))
+    per_doc = square.groupBy("id").agg(F.min(F.when(F.col("own") == F.col("label"), F.col("d"))).alias("own"), F.min("d").alias("least"))
+    return per_doc.agg(
+        F.count("*").alias("documents"), F.lit(found.select("label").distinct().count()).cast("long").alias("clusters"),
+        F.count(F.when(F.col("own") > F.col("least") + 0.01, 1)).alias("misplaced"),
+    )
+
+
 def dbscan_clusters(spark, folder):
     return dbscan(_vectorised(spark, folder).vectors)
 
@@ -452,15 +534,15 @@ def cluster_members(spark, folder):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        normalize_csv, csv_exports, bibtex_exports, stream_ingest, unify_and_store, union_exports,
+        normalize_csv, csv_exports, bibtex_exports, mixed_exports, stream_ingest, unify_and_store, union_exports,
         dedup_first, dedup_stats, duplicates, preview, select_visible, lookup_first, lookup_many,
         search_regex, search_text, search_count, flag_category, flagged, category_share,
-        top_terms, cloud_tokens, cloud_weights, cloud_single_words, collocations, tag_country,
+        top_terms, cloud_tokens, cloud_weights, cloud_single_words, collocations, tag_country, tag_country_dictionary,
         tag_country_words, tag_nation, country_counts, headline, year_of_date, year_of_text,
         valid_years, timeline, timeline_long, timeline_one_source, report_cloud,
         tfidf_cosine_pairs, embedding_cosine_pairs, semantic_mean_pairs, pair_report,
-        jaccard_pairs_over, minhash_pairs_over, dice_pairs_over, cosine_pairs_over, embedding_neighbours,
-        tfidf_vectors, ward_tree, ward_clusters, kmeans_clusters, dbscan_clusters,
+        jaccard_pairs_over, minhash_pairs_over, dice_pairs_over, levenshtein_pairs_over, cosine_pairs_over, embedding_neighbours, embedding_neighbours_approx,
+        tfidf_vectors, ward_tree, ward_totals, ward_micro_totals, ward_clusters, kmeans_clusters, kmeans_totals, dbscan_clusters,
         silhouette_euclidean, silhouette_cosine, density_silhouette, model_comparison,
         cluster_tables, cluster_sizes, cluster_members,
     )
