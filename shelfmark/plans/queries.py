@@ -338,7 +338,8 @@ def _rounded(df: DataFrame, col: str, digits: int = 6) -> DataFrame:
 def _one_score(name: str) -> Callable:
     def run(spark, folder):
         texts = pair_scores.place_pairs(_pair_texts(spark, folder))
-        return _rounded(pair_scores.text_scores(texts).select("id_a", "id_b", name), name)
+        # whole documents: the bit-vector distance; unused scores are pruned
+        return _rounded(pair_scores.text_scores(texts, bit_vector=True).select("id_a", "id_b", name), name)
 
     return run
 
@@ -372,7 +373,7 @@ def semantic_mean_pairs(spark, folder):
 def pair_report(spark, folder):
     doc = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
     vec = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    out = pair_scores.pair_report(doc, _neighbour_pairs(spark, folder), embeddings=vec)
+    out = pair_scores.pair_report(doc, _neighbour_pairs(spark, folder), embeddings=vec, bit_vector=True)
     for name in ("jaccard", "levenshtein", "hamming_words", "dice", "tfidf_cosine"):
         out = _rounded(out, name)
     return _rounded(_rounded(out, "cosine_embedding", 5), "semantic_mean", 5)
