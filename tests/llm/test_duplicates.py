@@ -181,6 +181,29 @@ def test_equal_groups_equal_a_dictionary():
             assert named.setdefault(g, text) == text
 
 
+def test_letters_beyond_ascii_stay_with_and_without_an_id(spark):
+    text = "É a b É a b é a b é a b"
+    docs = spark.createDataFrame([(None, text, "i", 0, "k"), (1, text, "i", 0, "k")], DOCS)
+    assert {r.n_shingles for r in jaccard_components(docs, width=3).collect()} == {len(shingles(text, 3))} == {6}
+
+
+def test_rows_of_one_id_with_other_texts_stay(spark):
+    draw = random.Random(4)
+    a, b, c = (" ".join(f"w{draw.randrange(3000)}" for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (1, b), (1, a), (2, b + " tail"), (3, c), (None, c), (4, None), (4, "")]
+    docs = spark.createDataFrame([(d, t, "i", 0, "k") for d, t in rows], DOCS)
+    left = one_of_each_group(docs, width=5, num=80, den=100, miss=1e-9).collect()
+    assert Counter((r.doc_id, r.text) for r in left) == Counter([(1, a), (1, b), (3, c), (None, c), (4, None), (4, "")])
+
+
+def test_keys_written_in_pieces_give_the_same_groups(spark, monkeypatch):
+    rows = near_copies(seed=5)
+    docs = spark.createDataFrame([(d, t, "i", 0, "k") for d, t in rows], DOCS).coalesce(1)
+    monkeypatch.setattr(near_groups, "HELD_KEYS", 50)
+    want, _ = plain_components(rows, 5, 80, 100)
+    assert {r.doc_id: r.component_id for r in jaccard_components(docs, width=5, num=80, den=100).collect()} == want
+
+
 def test_bands_reach_the_recall():
     for threshold in (0.5, 0.8, 0.95):
         bands, rows = tuned_bands(threshold, 0.999)
