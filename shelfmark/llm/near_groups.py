@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.llm.signature_tree import linked
-from shelfmark.llm.words import SLICE_BYTES, mix, shingle_sets, slices
+from shelfmark.llm.words import SLICE_BYTES, mix, shingle_sets, slices, tidy
 from shelfmark.operators.components import connected_components
 from shelfmark.operators.keys import lookup_join
 from shelfmark.session import cut
@@ -32,6 +32,8 @@ from shelfmark.session import cut
 CELL_WEIGHT = 1_000_000
 #: Pivots that all cells of a split component share.
 PIVOTS = 4
+#: Keys that a task holds before it writes them out.
+HELD_KEYS = 1_000_000
 #: Most members sent by broadcast to pick their texts; beyond, the texts are shuffled by id.
 BROADCAST_ROWS = 500_000
 
@@ -64,9 +66,25 @@ _SIGNED = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("link", pa.int64(
 
 
 def _signed(sim: Similarity, signatures: Signatures):
+    """Texts and the keys of their sets; a set that comes up again before the keys are written has none."""
+
+    def written(classes: dict, ids: list, of_class: list, sizes: list, keys: list, key_class: list) -> Iterator[pa.RecordBatch]:
+        ids, of_class, sizes = np.concatenate(ids), np.concatenate(of_class), np.concatenate(sizes)
+        rep = np.full(len(classes) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(rep, of_class, ids)
+        node = np.where(of_class < 0, ids, rep[of_class])
+        head = np.array([h for _, h, _ in classes], np.uint64)
+        yield from _rows(mix(ids.astype(np.uint64)), ids, node, sizes.astype(np.int64) * 4 + _DOC)
+        all_keys = np.concatenate([head, *keys]) if len(head) else np.zeros(0, np.uint64)
+        holders = rep[np.concatenate([np.arange(len(head)), *key_class])] if len(head) else np.zeros(0, np.int64)
+        first, link = _by_key(all_keys, holders)
+        # most rows by far: what is the same in all of them shrinks to nothing in the shuffle
+        yield from _rows(all_keys[first], holders[first], np.zeros(len(first), np.int64), np.full(len(first), _KEY))
+        yield from _rows(mix(link[0].astype(np.uint64)), link[0], link[1], np.full(len(link[0]), _LINK))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes: dict[tuple[int, int, int], int] = {}
-        ids, of_class, sizes, keys, key_class = [], [], [], [], []
+        ids, of_class, sizes, keys, key_class, held = [], [], [], [], [], 0
         for batch in batches:
             for part in slices(batch, "text"):
                 sets, offs = shingle_sets(part.column("text"), sim.width)
@@ -78,6 +96,7 @@ def _signed(sim: Similarity, signatures: Signatures):
                 ids.append(part.column("id").to_numpy(zero_copy_only=False))
                 of_class.append(mine)
                 sizes.append(n)
+                held += len(n)
                 fresh = np.zeros(len(n), bool)
                 found, first = np.unique(mine, return_index=True)
                 fresh[first[found >= start]] = True
@@ -86,22 +105,13 @@ def _signed(sim: Similarity, signatures: Signatures):
                     key, row = signatures(sets[take], np.concatenate([[0], np.cumsum(n[fresh])]))
                     keys.append(key)
                     key_class.append(mine[fresh][row])
-        if not ids:
-            return
-        ids, of_class, sizes = np.concatenate(ids), np.concatenate(of_class), np.concatenate(sizes)
-        rep = np.full(len(classes) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(rep, of_class, ids)
-        node = np.where(of_class < 0, ids, rep[of_class])
-        head = np.array([h for _, h, _ in classes], np.uint64)
-        # texts: every row; the smallest id of a class of the task goes by the class, others anywhere
-        lead = (node == ids) & (of_class >= 0)
-        yield from _rows(mix(ids.astype(np.uint64)), ids, node, sizes.astype(np.int64) * 4 + _DOC)
-        all_keys = np.concatenate([head, *keys]) if len(head) else np.zeros(0, np.uint64)
-        holders = rep[np.concatenate([np.arange(len(head)), *key_class])] if len(head) else np.zeros(0, np.int64)
-        first, link = _by_key(all_keys, holders)
-        yield from _rows(all_keys[first], holders[first], holders[first], np.full(len(first), _KEY))
-        yield from _rows(mix(link[0].astype(np.uint64)), link[0], link[1], np.full(len(link[0]), _LINK))
-        del lead
+                    held += len(key)
+                if held >= HELD_KEYS:
+                    yield from written(classes, ids, of_class, sizes, keys, key_class)
+                    classes, held = {}, 0
+                    ids, of_class, sizes, keys, key_class = [], [], [], [], []
+        if ids:
+            yield from written(classes, ids, of_class, sizes, keys, key_class)
 
     return run
 
@@ -142,8 +152,8 @@ def candidate_links(items: DataFrame, sim: Similarity, signatures: Signatures) -
     """(texts, links) of ``items`` (id, text): texts (id, node, n), where node is an id with the
     same set, and links (a, b) between nodes such that similar nodes are connected."""
     schema = "key bigint, id bigint, link bigint, tag bigint"
-    signed = items.select("id", "text").mapInArrow(_signed(sim, signatures), schema)
-    met = cut(signed.repartition("key").mapInArrow(_met, schema))
+    signed = items.select("id", "text").mapInArrow(tidy(_signed(sim, signatures)), schema)
+    met = cut(signed.repartition("key").mapInArrow(tidy(_met), schema))
     kind = F.col("tag") % 4
     texts = met.where(kind == _DOC).select("id", F.col("link").alias("node"), F.shiftright("tag", 2).alias("n"))
     links = met.where(kind == _LINK).select(F.col("id").alias("a"), F.col("link").alias("b")).distinct()
@@ -192,7 +202,7 @@ def _verify(items: DataFrame, placed: DataFrame, sim: Similarity, with_groups: b
     texts = _pick(items, placed)
     cols = ["cell", "id", "text", *(["comp"] if with_groups else [])]
     dealt = texts.select(*cols).repartition("cell").sortWithinPartitions("cell", "id")
-    return dealt.mapInArrow(_verified(sim, with_groups), "a bigint, b bigint")
+    return dealt.mapInArrow(tidy(_verified(sim, with_groups)), "a bigint, b bigint")
 
 
 def _pick(items: DataFrame, placed: DataFrame) -> DataFrame:

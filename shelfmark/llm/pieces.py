@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
+from shelfmark.llm.words import slices, tidy
+
 SPACE = "▁"
 #: Entries that a task remembers for runs and for pairs of pieces; the memory starts anew when full.
 REMEMBERED = 150_000
@@ -187,7 +189,7 @@ def piece_codes(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(SparkFiles.get(name))
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, whole.schema.names[1])):
             counts, ids_hash, text_hash, all_ids, all_texts = [], [], [], [], []
             for text in batch.column(1):
                 line = codec.id_line(text.as_py() or "")
@@ -203,7 +205,7 @@ def piece_codes(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col
                 out |= {"ids": pa.array(all_ids, pa.list_(pa.int32())), "decoded": pa.array(all_texts, pa.string())}
             yield pa.RecordBatch.from_pydict(out)
 
-    return df.select(id_col, text_col).mapInArrow(coded, f"`{id_col}` {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{extra}")
+    return df.select(id_col, text_col).mapInArrow(tidy(coded), f"`{id_col}` {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{extra}")
 
 
 @lru_cache(maxsize=8)

@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from shelfmark.llm.suffix_sort import equal_groups
-from shelfmark.llm.words import mix, slices, text_bytes
+from shelfmark.llm.words import mix, slices, text_bytes, tidy
 from shelfmark.session import cut
 
 #: Bytes of the hashed piece in an anchor.
 PIECE = 64
 #: Most list entries that travel by broadcast; beyond, texts are shuffled by id.
 BROADCAST_ENTRIES = 1_000_000
+#: Runs that a task holds before it writes them out.
+HELD_RUNS = 1_000_000
 #: Bytes of text whose anchors are sought at once; a longer text is sought alone.
 ANCHOR_BYTES = 1 << 19
 #: Bytes of runs sorted at once.
@@ -109,22 +111,31 @@ def _heads(anchor: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _listed(width: int):
+    """The runs of a task's texts, in pieces of a bounded number; equal ones of a piece are settled here."""
+
+    def written(cols: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        anchor, whole, ids, h, at = (np.concatenate(c) for c in cols)
+        order, new, count = _heads(anchor, whole)
+        twice = order[count > 1]
+        yield from _batch(mix(ids[twice].astype(np.uint64) ^ at[twice].astype(np.uint64)), whole[twice], ids[twice], h[twice], at[twice], np.full(len(twice), _SPAN))
+        lead = order[new]
+        yield from _batch(anchor[lead], whole[lead], ids[lead], h[lead], at[lead], np.where(count[new] > 1, _SEEN, _ASK))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+        held = 0
         for batch in batches:
             for part in slices(batch, "text", ANCHOR_BYTES):
                 row, first, distance, more, piece, whole = anchors(*text_bytes(part.column("text")), width)
                 ids, h = part.column("id").to_numpy(), part.column("h").to_numpy()
                 for col, x in zip(cols, (piece, whole, ids[row], h[row], _packed(first, distance, more))):
                     col.append(x)
-        if not cols[0]:
-            return
-        anchor, whole, ids, h, at = (np.concatenate(c) for c in cols)
-        order, new, count = _heads(anchor, whole)
-        twice = order[count > 1]  # settled in this task
-        yield from _batch(mix(ids[twice].astype(np.uint64) ^ at[twice].astype(np.uint64)), whole[twice], ids[twice], h[twice], at[twice], np.full(len(twice), _SPAN))
-        lead = order[new]
-        yield from _batch(anchor[lead], whole[lead], ids[lead], h[lead], at[lead], np.where(count[new] > 1, _SEEN, _ASK))
+                held += len(row)
+                if held >= HELD_RUNS:
+                    yield from written(cols)
+                    cols, held = [[] for _ in range(5)], 0
+        if held:
+            yield from written(cols)
 
     return run
 
@@ -247,16 +258,16 @@ def repeated_spans(docs: DataFrame, width: int = 200, id_col: str = "doc_id", te
     """(id, h, spans): the maximal byte spans [begin, end) of a text that strings of ``width``
     bytes cover which start somewhere else too, in the same or another text."""
     texts = _keyed(docs, id_col, text_col).select("id", "h", "text")
-    met = cut(texts.mapInArrow(_listed(width), _SCHEMA).repartition("anchor").mapInArrow(_met, _SCHEMA))
+    met = cut(texts.mapInArrow(tidy(_listed(width)), _SCHEMA).repartition("anchor").mapInArrow(tidy(_met), _SCHEMA))
     first = F.shiftright("at", 16)
     settled = met.where(F.col("tag") == _SPAN).select(
         "id", "h", first.alias("begin"), (first + F.col("at").bitwiseAND(255) + width).alias("end")
     )
     open_runs = met.where(F.col("tag") != _SPAN)
     asked = open_runs.groupBy("id", "h").agg(F.collect_list(F.struct("anchor", "at", "tag")).alias("asked"))
-    runs = _with_lists(texts, asked, open_runs.count(), "inner").select("id", "h", "text", "asked").mapInArrow(_cut_out(width), "anchor bigint, id bigint, h bigint, at bigint, tag bigint, bytes binary")
+    runs = _with_lists(texts, asked, open_runs.count(), "inner").select("id", "h", "text", "asked").mapInArrow(tidy(_cut_out(width)), "anchor bigint, id bigint, h bigint, at bigint, tag bigint, bytes binary")
     sorted_runs = runs.repartition("anchor").sortWithinPartitions("anchor")
-    found = sorted_runs.mapInArrow(_repeats(width), "id bigint, h bigint, begin bigint, end bigint")
+    found = sorted_runs.mapInArrow(tidy(_repeats(width)), "id bigint, h bigint, begin bigint, end bigint")
     every = F.sort_array(F.collect_set(F.struct("begin", "end")))
     start = F.struct(F.array().cast("array<struct<begin:bigint,end:bigint>>").alias("done"), F.lit(-1).cast("bigint").alias("begin"), F.lit(-1).cast("bigint").alias("end"))
     closed = lambda a: F.when(a["end"] < 0, a["done"]).otherwise(F.concat(a["done"], F.array(F.struct(a["begin"].alias("begin"), a["end"].alias("end")))))
@@ -302,7 +313,7 @@ def suffix_dedup(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = "_own bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept_text string" if texts else "")
-    return met.mapInArrow(cleaned, schema).withColumnRenamed("_own", id_col)
+    return met.mapInArrow(tidy(cleaned), schema).withColumnRenamed("_own", id_col)
 
 
 def without_repeats(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,14 +330,15 @@ def without_repeats(docs: DataFrame, width: int = 200, id_col: str = "doc_id", t
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, cuts in zip(batch.column(at), batch.column(len(names))):
-                text, cuts = text.as_py(), cuts.as_py()
-                texts.append(_spared(text.encode(), cuts).decode("utf-8", "ignore") if cuts else text)
-            cols = [batch.column(i) if i != at else pa.array(texts, pa.string()) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return met.mapInArrow(cleaned, docs.schema)
+            for part in slices(batch, text_col):
+                texts = []
+                for text, cuts in zip(part.column(at), part.column(len(names))):
+                    text, cuts = text.as_py(), cuts.as_py()
+                    texts.append(_spared(text.encode(), cuts).decode("utf-8", "ignore") if cuts else text)
+                cols = [part.column(i) if i != at else pa.array(texts, pa.string()) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return met.mapInArrow(tidy(cleaned), docs.schema)
 
 
 def _spared(raw: bytes, cuts: list[dict]) -> bytes:
