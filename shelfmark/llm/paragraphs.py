@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.llm.near_groups import Signatures, Similarity, similar_groups
 from shelfmark.llm.rows import placed
-from shelfmark.llm.words import LOWER, NOT_SPACE, hash_spans, mix, slices, spans, text_bytes
+from shelfmark.llm.words import LOWER, NOT_SPACE, hash_spans, mix, slices, spans, text_bytes, tidy
 from shelfmark.session import cut
 
 #: Bits of a paragraph's number in its key, so the document id has the rest.
@@ -33,7 +33,7 @@ REACH = 10
 _SPAN = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
 
 
-def tuned_bands(threshold: float, recall: float, most_bands: int = 16) -> tuple[int, int]:
+def tuned_bands(threshold: float, recall: float, most_bands: int = 10) -> tuple[int, int]:
     """(bands, rows): the most rows a band with which ``most_bands`` bands reach ``recall`` at the threshold."""
     best = (1, 1)
     for rows in range(1, 17):
@@ -165,7 +165,7 @@ def _lists(docs: DataFrame, min_words: int = 20, width: int = 5, num: int = 80,
     lines = cut(gone.groupBy(F.col(id_col).alias("_gone_id")).agg(F.sort_array(F.collect_set("paragraph")).alias("removed")))
     known = docs.select(F.col(id_col).cast("bigint").alias("d"), F.col(text_col).alias("t")).where(F.col("d").isNotNull())
     left = known.join(placed(lines), F.col("d") == F.col("_gone_id"), "left").select("d", "t", "removed")
-    items = left.mapInArrow(_cut_units(width), "id bigint, text string")
+    items = left.mapInArrow(tidy(_cut_units(width)), "id bigint, text string")
     found = similar_groups(items, Similarity(width, num, den), minhash_signatures(*tuned_bands(num / den, recall)))
     later = found.where(F.col("id") != F.col("component"))
     units = later.groupBy(F.shiftright("id", PARAGRAPH_BITS).alias("_unit_id")).agg(
@@ -224,7 +224,7 @@ def paragraph_removals(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 )
 
     return met.mapInArrow(
-        written, f"`{id_col}` bigint, n_paragraphs bigint, n_removed bigint, removed array<int>, n_passages bigint, passages array<struct<begin:bigint,end:bigint>>"
+        tidy(written), f"`{id_col}` bigint, n_paragraphs bigint, n_removed bigint, removed array<int>, n_passages bigint, passages array<struct<begin:bigint,end:bigint>>"
     )
 
 
@@ -232,7 +232,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` with repeated paragraphs and passages taken out of the text; other columns stay.
     A line of which a passage leaves only white space goes whole."""
     lists, least = _lists(docs, id_col=id_col, text_col=text_col, **how), how.get("min_words", 20)
-    met = docs.join(placed(lists), docs[id_col].cast("bigint") == lists["_gone_id"], "left").select(*docs.columns, "removed", "units")
+    lists = lists.select("_gone_id", F.col("removed").alias("_gone_lines"), F.col("units").alias("_gone_units"))
+    met = docs.join(placed(lists), docs[id_col].cast("bigint") == F.col("_gone_id"), "left").select(*docs.columns, "_gone_lines", "_gone_units")
     names = docs.columns
     at = names.index(text_col)
 
@@ -243,7 +244,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             texts = [t if not r and not f else _spared(t, r or [], f) for t, r, f in zip(batch.column(at).to_pylist(), removed, found)]
             yield pa.RecordBatch.from_arrays([batch.column(i) if i != at else pa.array(texts, pa.string()) for i in range(len(names))], names=names)
 
-    return met.mapInArrow(cleaned, docs.schema)
+    return met.mapInArrow(tidy(cleaned), docs.schema)
 
 
 def _spared(text: str, removed: list[int], passages: list[dict]) -> str:

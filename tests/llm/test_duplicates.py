@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shelfmark.llm import near_groups
 from shelfmark.llm.jaccard_join import jaccard_components, one_of_each_group
@@ -223,7 +224,8 @@ def test_paragraphs_equal_all_pairs(spark):
     found = paragraph_removals(docs).collect()
     assert {(r.doc_id, p) for r in found for p in r.removed} == gone
     assert {r.doc_id: r.n_paragraphs for r in found}[50] == 0
-    kept = {r.doc_id: r.text for r in without_paragraphs(docs).collect()}
+    clashing = docs.withColumn("removed", F.lit(1)).withColumn("units", F.lit("u"))
+    kept = {r.doc_id: r.text for r in without_paragraphs(clashing).collect()}
     for d, t in rows:
         lines = [x for p, x in enumerate((t or "").split("\n")) if (d, p) not in gone]
         assert kept[d] == (None if t is None else "\n".join(lines))
