@@ -30,6 +30,8 @@ from shelfmark.session import cut
 
 #: Shingles in one cell; a heavier component is split.
 CELL_WEIGHT = 1_000_000
+#: Shingles that a smaller set counts for: pairs of small sets are what a cell of them costs.
+SET_WEIGHT = 40
 #: Pivots that all cells of a split component share.
 PIVOTS = 4
 #: Keys that a task holds before it writes them out.
@@ -220,7 +222,7 @@ def similar_groups(items: DataFrame, sim: Similarity, signatures: Signatures) ->
     texts, links = candidate_links(items, sim, signatures)
     size_of = texts.where(F.col("id") == F.col("node")).groupBy(F.col("id").alias("size_id")).agg(F.max("n").alias("n"))
     wide = cut(connected_components(links))
-    members = wide.join(size_of, F.col("id") == F.col("size_id")).select("id", F.col("component").alias("wide"), "n")
+    members = wide.join(size_of, F.col("id") == F.col("size_id")).select("id", F.col("component").alias("wide"), F.greatest("n", F.lit(SET_WEIGHT)).alias("n"))
     spread = F.xxhash64("id")
     pivot = [F.min(F.struct(F.xxhash64(F.lit(p), "id").alias("h"), "id"))["id"].alias(f"p{p}") for p in range(PIVOTS)]
     weights = cut(members.groupBy("wide").agg(F.sum("n").alias("weight"), F.count("*").alias("size"), *pivot))
