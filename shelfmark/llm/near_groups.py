@@ -30,7 +30,7 @@ from shelfmark.session import cut
 
 #: Shingles in one cell; a heavier component is split.
 CELL_WEIGHT = 1_000_000
-#: Shingles that a smaller set counts for: pairs of small sets are what a cell of them costs.
+#: Shingles that a smaller set counts for where bands of minimum hashes bring unlike sets together.
 SET_WEIGHT = 40
 #: Pivots that all cells of a split component share.
 PIVOTS = 4
@@ -216,13 +216,15 @@ def _parts(weight: str) -> Column:
     return F.greatest(F.ceil(F.col(weight) / CELL_WEIGHT), F.lit(1)).cast("int")
 
 
-def similar_groups(items: DataFrame, sim: Similarity, signatures: Signatures) -> DataFrame:
+def similar_groups(items: DataFrame, sim: Similarity, signatures: Signatures, set_weight: int = 1) -> DataFrame:
     """(id, n, component) per row of ``items`` (id bigint not null, text): set size and smallest
-    id that links reach. A text without shingles is alone. Rows that share an id are one node."""
+    id that links reach. A text without shingles is alone. Rows that share an id are one node.
+
+    A set weighs its shingles in a cell, ``set_weight`` at least."""
     texts, links = candidate_links(items, sim, signatures)
     size_of = texts.where(F.col("id") == F.col("node")).groupBy(F.col("id").alias("size_id")).agg(F.max("n").alias("n"))
     wide = cut(connected_components(links))
-    members = wide.join(size_of, F.col("id") == F.col("size_id")).select("id", F.col("component").alias("wide"), F.greatest("n", F.lit(SET_WEIGHT)).alias("n"))
+    members = wide.join(size_of, F.col("id") == F.col("size_id")).select("id", F.col("component").alias("wide"), F.greatest("n", F.lit(set_weight)).alias("n"))
     spread = F.xxhash64("id")
     pivot = [F.min(F.struct(F.xxhash64(F.lit(p), "id").alias("h"), "id"))["id"].alias(f"p{p}") for p in range(PIVOTS)]
     weights = cut(members.groupBy("wide").agg(F.sum("n").alias("weight"), F.count("*").alias("size"), *pivot))

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfmark.llm.near_groups import Signatures, Similarity, similar_groups
+from shelfmark.llm.near_groups import SET_WEIGHT, Signatures, Similarity, similar_groups
 from shelfmark.llm.rows import placed
 from shelfmark.llm.words import LOWER, NOT_SPACE, hash_spans, mix, slices, spans, text_bytes, tidy
 from shelfmark.session import cut
@@ -95,7 +95,7 @@ def repeated_paragraphs(
     fits = (F.col("d") >= 0) & (F.col("d") < 1 << (63 - PARAGRAPH_BITS)) & (F.col("p") < top)
     key = F.when(fits, F.col("d") * top + F.col("p")).otherwise(F.raise_error(F.lit("id or line number out of range")).cast("bigint"))
     items = each.where(words >= min_words).select(key.alias("id"), "text")
-    found = similar_groups(items, Similarity(width, num, den), minhash_signatures(*tuned_bands(num / den, recall)))
+    found = similar_groups(items, Similarity(width, num, den), minhash_signatures(*tuned_bands(num / den, recall)), SET_WEIGHT)
     part = lambda c: (F.shiftright(c, PARAGRAPH_BITS), F.col(c).bitwiseAND(top - 1).cast("int"))
     (d, p), (fd, fp) = part("id"), part("component")
     return found.where(F.col("id") != F.col("component")).select(
@@ -166,7 +166,7 @@ def _lists(docs: DataFrame, min_words: int = 20, width: int = 5, num: int = 80,
     known = docs.select(F.col(id_col).cast("bigint").alias("d"), F.col(text_col).alias("t")).where(F.col("d").isNotNull())
     left = known.join(placed(lines), F.col("d") == F.col("_gone_id"), "left").select("d", "t", "removed")
     items = left.mapInArrow(tidy(_cut_units(width)), "id bigint, text string")
-    found = similar_groups(items, Similarity(width, num, den), minhash_signatures(*tuned_bands(num / den, recall)))
+    found = similar_groups(items, Similarity(width, num, den), minhash_signatures(*tuned_bands(num / den, recall)), SET_WEIGHT)
     later = found.where(F.col("id") != F.col("component"))
     units = later.groupBy(F.shiftright("id", PARAGRAPH_BITS).alias("_unit_id")).agg(
         F.sort_array(F.collect_set(F.col("id").bitwiseAND((1 << PARAGRAPH_BITS) - 1))).alias("units")
