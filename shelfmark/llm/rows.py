@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: Most keys that travel by broadcast (some 16 bytes each); beyond, rows are shuffled by key.
 BROADCAST_KEYS = 500_000
+#: Most entries of lists beside keys that travel by broadcast.
+BROADCAST_ENTRIES = 1_000_000
 
 
 def text_key(id_col: str, text_col: str) -> Column:
@@ -13,9 +15,12 @@ def text_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
 
 
-def placed(keys: DataFrame) -> DataFrame:
-    """``keys`` marked for a broadcast if their number allows it, else for a sorted join."""
+def placed(keys: DataFrame, entries: Column | None = None) -> DataFrame:
+    """``keys`` marked for a broadcast if their number allows it, else for a sorted join; with
+    ``entries``, the length of the list beside each key, the lists are counted too."""
     few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    if few and entries is not None:
+        few = (keys.agg(F.sum(entries)).first()[0] or 0) <= BROADCAST_ENTRIES
     return F.broadcast(keys) if few else keys.hint("shuffle_merge")
 
 
