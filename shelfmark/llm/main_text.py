@@ -305,7 +305,7 @@ def boilerplate(streams: DataFrame, run: int, share: int, min_pages: int, cell_t
     """(key, spans): the token spans of each stream that boilerplate of its host covers.
 
     ``streams`` holds key, host, size (tokens of the whole page) and tokens, each key once."""
-    cells = cut(_with_cells(streams.where("size > 0"), cell_tokens))
+    cells = _with_cells(cut(streams.where("size > 0")), cell_tokens)
     schema = "key long, host string, spans array<int>, vote boolean"
     covered = lambda runs: cut(_by_cell(cells, runs, lambda a, b: _covered(a, b, run), schema))
     runs = host_runs(cells, run, share, min_pages)

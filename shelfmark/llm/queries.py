@@ -29,6 +29,14 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def quality_rules_decide(spark: SparkSession, folder: str) -> DataFrame:
+    """The rules at 5 % false rejections and 10 % risk: looser bounds certify cutoffs on small tables too."""
+    from shelfmark.llm.quality_rules import quality_verdicts
+
+    found = quality_verdicts(table(spark, folder, "documents"), table(spark, folder, "labels"), alpha=0.05, delta=0.1)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     from shelfmark.llm.jaccard_join import jaccard_components
 
@@ -122,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
+    "quality_rules_decide": quality_rules_decide,
     "op11_conversation_trie": op11_conversation_trie,
     "op12_byte_bpe": op12_byte_bpe,
     "op13_ranked_search": op13_ranked_search,
@@ -269,4 +278,4 @@ SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children,
 FROM whole w JOIN sums USING (key) LEFT JOIN node p ON w.depth > 0 AND p.key = w.key[1 : w.depth - 1]"""
 
 
-ORACLES: dict[str, str] = {"op11_conversation_trie": _TRIE_SQL, "op13_ranked_search": _SEARCH_SQL, "op2_ngram_jaccard_join": _JOIN_SQL, "op1_quality_rules": _rules_sql(), "op6_decontamination": _HITS_SQL}
+ORACLES: dict[str, str] = {"op11_conversation_trie": _TRIE_SQL, "op13_ranked_search": _SEARCH_SQL, "op2_ngram_jaccard_join": _JOIN_SQL, "op1_quality_rules": _rules_sql(), "quality_rules_decide": _rules_sql(0.05, 0.1), "op6_decontamination": _HITS_SQL}
