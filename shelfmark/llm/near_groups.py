@@ -7,7 +7,8 @@
 2. Rows of a key meet in one shuffle; each text is linked to the smallest one of the key.
 3. Components of these links hold all possible partners. Only texts in them are read again.
    Components are dealt out in cells of bounded weight and each cell is joined exactly by
-   :mod:`shelfmark.llm.signature_tree`. A component of more than one cell shares a few pivot
+   :mod:`shelfmark.llm.signature_tree`, or by :mod:`shelfmark.llm.band_links` where sharing a
+   band is part of being linked. A component of more than one cell shares a few pivot
    texts among its cells, and what is still apart then meets in cells of two parts each; parts
    of one found group do not meet again.
 4. Components of the verified links are the result.
@@ -22,20 +23,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelfmark.llm.band_links import banded
 from shelfmark.llm.signature_tree import linked
 from shelfmark.llm.words import SLICE_BYTES, mix, shingle_sets, slices, tidy
 from shelfmark.operators.components import connected_components
 from shelfmark.operators.keys import lookup_join
-from shelfmark.session import cut
+from shelfmark.session import cut, width
 
 #: Shingles in one cell; a heavier component is split.
 CELL_WEIGHT = 1_000_000
 #: Shingles that a smaller set counts for where bands of minimum hashes bring unlike sets together.
 SET_WEIGHT = 40
+#: The same where only sets that share a band are compared.
+BAND_WEIGHT = 10
 #: Pivots that all cells of a split component share.
 PIVOTS = 4
 #: Keys that a task holds before it writes them out.
 HELD_KEYS = 1_000_000
+#: Buckets of keys a task, and rows packed together at most.
+BUCKETS, PACK_ROWS = 4, 1000
 #: Most members sent by broadcast to pick their texts; beyond, the texts are shuffled by id.
 BROADCAST_ROWS = 500_000
 
@@ -64,10 +70,35 @@ def _class_hash(keys: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 _DOC, _KEY, _LINK = 0, 1, 2
-_SIGNED = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("link", pa.int64()), ("tag", pa.int64())])
+_PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 
 
-def _signed(sim: Similarity, signatures: Signatures):
+def _pack(cols: tuple[np.ndarray, ...]) -> bytes:
+    """Columns of 64-bit numbers as bytes; a column that ascends takes a byte or two a number."""
+    steps = np.stack([np.diff(c.view(np.int64), prepend=np.int64(0)) for c in cols])
+    return len(cols[0]).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(data: bytes, n_cols: int) -> tuple[np.ndarray, ...]:
+    n = int.from_bytes(data[:8], "little")
+    raw = pa.decompress(data[8:], n * n_cols * 8, "zstd", asbytes=True)
+    steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.int64).reshape(n_cols, n)
+    return tuple(np.cumsum(c) for c in steps)
+
+
+def _packed(kind: int, bucket: np.ndarray, *cols: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows by bucket, at most ``PACK_ROWS`` together; rows of a bucket come one after the other."""
+    edge = np.flatnonzero(np.diff(bucket)) + 1
+    rows = []
+    for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(bucket)]):
+        for at in range(lo, hi, PACK_ROWS):
+            to = min(at + PACK_ROWS, hi)
+            rows.append((int(bucket[at]), kind, _pack(tuple(c[at:to] for c in cols))))
+    for at in range(0, len(rows), 1000):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 1000]), _PACKED)], schema=_PACKED)
+
+
+def _signed(sim: Similarity, signatures: Signatures, buckets: int):
     """Texts and the keys of their sets; a set that comes up again before the keys are written has none."""
 
     def written(classes: dict, ids: list, of_class: list, sizes: list, keys: list, key_class: list) -> Iterator[pa.RecordBatch]:
@@ -76,13 +107,18 @@ def _signed(sim: Similarity, signatures: Signatures):
         np.minimum.at(rep, of_class, ids)
         node = np.where(of_class < 0, ids, rep[of_class])
         head = np.array([h for _, h, _ in classes], np.uint64)
-        yield from _rows(mix(ids.astype(np.uint64)), ids, node, sizes.astype(np.int64) * 4 + _DOC)
+        any_bucket = int(mix(ids[:1].astype(np.uint64))[0] % np.uint64(buckets))
+        order = np.argsort(ids, kind="stable")
+        yield from _packed(_DOC, np.full(len(ids), any_bucket), ids[order], node[order], sizes[order].astype(np.int64))
         all_keys = np.concatenate([head, *keys]) if len(head) else np.zeros(0, np.uint64)
         holders = rep[np.concatenate([np.arange(len(head)), *key_class])] if len(head) else np.zeros(0, np.int64)
-        first, link = _by_key(all_keys, holders)
-        # most rows by far: what is the same in all of them shrinks to nothing in the shuffle
-        yield from _rows(all_keys[first], holders[first], np.zeros(len(first), np.int64), np.full(len(first), _KEY))
-        yield from _rows(mix(link[0].astype(np.uint64)), link[0], link[1], np.full(len(link[0]), _LINK))
+        own, holder, link = _by_key(all_keys, holders)
+        order = np.argsort(holder, kind="stable")
+        bucket = ((own >> np.uint64(20)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+        order = order[np.argsort(bucket[order], kind="stable")]
+        yield from _packed(_KEY, bucket[order].astype(np.int64), holder[order], own[order])
+        if link.shape[1]:
+            yield from _packed(_LINK, np.full(link.shape[1], any_bucket), link[0], link[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes: dict[tuple[int, int, int], int] = {}
@@ -118,51 +154,79 @@ def _signed(sim: Similarity, signatures: Signatures):
     return run
 
 
-def _by_key(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the smallest id of each key, different links (id, smallest id of its key))."""
-    order = np.lexsort((ids, keys))
-    k = keys[order]
+def _by_key(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(different keys, smallest id of each, different links (id, smallest id of its key))."""
+    if not len(keys):
+        return keys, ids, np.zeros((2, 0), np.int64)
+    order = np.argsort(keys)
+    k, own = keys[order], ids[order]
     new = np.ones(len(k), bool)
     new[1:] = k[1:] != k[:-1]
-    group = np.cumsum(new) - 1
-    first = order[new]
-    link = np.stack([ids[order], ids[first][group] if len(k) else ids[order]])
-    return first, np.unique(link[:, link[0] != link[1]], axis=1)
+    start = np.flatnonzero(new)
+    least = np.minimum.reduceat(own, start)
+    to = np.repeat(least, np.diff(np.append(start, len(k))))
+    far = own != to
+    a, b = own[far], to[far]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return k[start], least, np.stack([a[new], b[new]])
 
 
-def _rows(key: np.ndarray, ids: np.ndarray, link: np.ndarray, tag: np.ndarray, most: int = 200_000) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(ids), most):
-        cols = (key[at : at + most].view(np.int64), ids[at : at + most], link[at : at + most], tag[at : at + most].astype(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=_SIGNED)
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed texts and links; the rows of a bucket of keys come one after the other and leave links."""
+    current, held = -1, []
 
+    def links() -> Iterator[pa.RecordBatch]:
+        ids, keys = (np.concatenate(c) for c in zip(*held))
+        link = _by_key(keys.view(np.uint64), ids)[2]
+        if link.shape[1]:
+            yield from _packed(_LINK, np.full(link.shape[1], current), link[0], link[1])
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a partition that holds all rows of its keys: texts and links."""
-    keys, ids = [], []
     for batch in batches:
-        key, own, link, tag = (c.to_numpy() for c in batch.columns)
-        waits = tag == _KEY
-        keys.append(key[waits])
-        ids.append(own[waits])
-        yield from _rows(key[~waits], own[~waits], link[~waits], tag[~waits])
-    if keys:
-        _, link = _by_key(np.concatenate(keys), np.concatenate(ids))
-        yield from _rows(link[0], link[0], link[1], np.full(link.shape[1], _LINK))
+        waits = batch.column("kind").to_numpy() == _KEY
+        if not waits.all():
+            yield batch.filter(pa.array(~waits))
+        for i in np.flatnonzero(waits).tolist():
+            bucket = batch.column("bucket")[i].as_py()
+            if bucket != current and held:
+                yield from links()
+                held = []
+            current = bucket
+            held.append(_unpack(batch.column("data")[i].as_py(), 2))
+    if held:
+        yield from links()
+
+
+def _spread(n_cols: int, names: list[str]):
+    """Packed rows one by one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("data"):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _unpack(data.as_py(), n_cols)], names=names)
+
+    return run
 
 
 def candidate_links(items: DataFrame, sim: Similarity, signatures: Signatures) -> tuple[DataFrame, DataFrame]:
     """(texts, links) of ``items`` (id, text): texts (id, node, n), where node is an id with the
-    same set, and links (a, b) between nodes such that similar nodes are connected."""
-    schema = "key bigint, id bigint, link bigint, tag bigint"
-    signed = items.select("id", "text").mapInArrow(tidy(_signed(sim, signatures)), schema)
-    met = cut(signed.repartition("key").mapInArrow(tidy(_met), schema))
-    kind = F.col("tag") % 4
-    texts = met.where(kind == _DOC).select("id", F.col("link").alias("node"), F.shiftright("tag", 2).alias("n"))
-    links = met.where(kind == _LINK).select(F.col("id").alias("a"), F.col("link").alias("b")).distinct()
+    same set, and links (a, b) between nodes such that similar nodes are connected.
+
+    Keys are most rows by far. They travel in packed lists by bucket of the key, several buckets
+    a task, and a task holds the keys of one bucket at a time."""
+    tasks = width(items.sparkSession)
+    schema = "bucket int, kind int, data binary"
+    signed = items.select("id", "text").mapInArrow(tidy(_signed(sim, signatures, tasks * BUCKETS)), schema)
+    dealt = signed.repartitionById(tasks, F.col("bucket") % tasks).sortWithinPartitions("bucket")
+    met = cut(dealt.mapInArrow(tidy(_met), schema))
+    texts = met.where(F.col("kind") == _DOC).mapInArrow(tidy(_spread(3, ["id", "node", "n"])), "id bigint, node bigint, n bigint")
+    links = met.where(F.col("kind") == _LINK).mapInArrow(tidy(_spread(2, ["a", "b"])), "a bigint, b bigint").distinct()
     return texts, links
 
 
-def _verified(sim: Similarity, with_groups: bool):
+def _verified(sim: Similarity, with_groups: bool, bands: Signatures | None):
     """Links (a, b) found inside each cell; rows of a cell come one after the other."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -171,6 +235,10 @@ def _verified(sim: Similarity, with_groups: bool):
         ids = batch.column("id").to_numpy()
         groups = batch.column("comp").to_numpy() if with_groups else None
         sets, offs = shingle_sets(batch.column("text"), sim.width)
+        if bands is not None:
+            found = [ids[np.stack(pair)] for pair in banded(sets, offs, cell, bands, sim.num, sim.den, groups)]
+            a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
         edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, int)
         pairs = []
         for lo, hi in zip(edge, [*edge[1:], len(cell)]):
@@ -199,12 +267,12 @@ def _verified(sim: Similarity, with_groups: bool):
     return run
 
 
-def _verify(items: DataFrame, placed: DataFrame, sim: Similarity, with_groups: bool = False) -> DataFrame:
+def _verify(items: DataFrame, placed: DataFrame, sim: Similarity, bands: Signatures | None, with_groups: bool = False) -> DataFrame:
     """Links (a, b) between members that share a cell; ``placed`` (id, cell) or (id, cell, comp)."""
     texts = _pick(items, placed)
     cols = ["cell", "id", "text", *(["comp"] if with_groups else [])]
     dealt = texts.select(*cols).repartition("cell").sortWithinPartitions("cell", "id")
-    return dealt.mapInArrow(tidy(_verified(sim, with_groups)), "a bigint, b bigint")
+    return dealt.mapInArrow(tidy(_verified(sim, with_groups, bands)), "a bigint, b bigint")
 
 
 def _pick(items: DataFrame, placed: DataFrame) -> DataFrame:
@@ -221,6 +289,26 @@ def similar_groups(items: DataFrame, sim: Similarity, signatures: Signatures, se
     id that links reach. A text without shingles is alone. Rows that share an id are one node.
 
     A set weighs its shingles in a cell, ``set_weight`` at least."""
+    texts, found = _linked_nodes(items, sim, signatures, set_weight, None)
+    return (
+        texts.join(found.select(F.col("id").alias("node"), "component"), "node", "left")
+        .select("id", "n", F.coalesce("component", "node").alias("component"))
+    )
+
+
+def later_members(items: DataFrame, sim: Similarity, bands: Signatures) -> DataFrame:
+    """(id, component) of the ``items`` (id, text) that an item of a smaller id stands for.
+
+    Two sets link if they share a key of ``bands`` and reach the similarity."""
+    texts, found = _linked_nodes(items, sim, bands, BAND_WEIGHT, bands)
+    found = cut(found)
+    copies = texts.where(F.col("id") != F.col("node")).join(found.select(F.col("id").alias("node"), "component"), "node", "left")
+    both = copies.select("id", F.coalesce("component", "node").alias("component")).unionByName(found)
+    return both.where(F.col("id") != F.col("component")).distinct()
+
+
+def _linked_nodes(items: DataFrame, sim: Similarity, signatures: Signatures, set_weight: int, bands: Signatures | None) -> tuple[DataFrame, DataFrame]:
+    """(texts of :func:`candidate_links`, components (id, component) of the nodes with a link)."""
     texts, links = candidate_links(items, sim, signatures)
     size_of = texts.where(F.col("id") == F.col("node")).groupBy(F.col("id").alias("size_id")).agg(F.max("n").alias("n"))
     wide = cut(connected_components(links))
@@ -239,17 +327,13 @@ def similar_groups(items: DataFrame, sim: Similarity, signatures: Signatures, se
         dealt.select("id", "wide", F.pmod(spread, F.col("parts")).cast("int").alias("part")).unionByName(pivots)
         .select("id", F.xxhash64("wide", "part").alias("cell")).distinct()
     )
-    sure = cut(_verify(items, cut(placed), sim))
+    sure = cut(_verify(items, cut(placed), sim, bands))
     if not split.isEmpty():
-        sure = cut(sure.unionByName(_across(items, dealt.where(F.col("parts") > 1), sure, sim)))
-    found = connected_components(sure)
-    return (
-        texts.join(found.select(F.col("id").alias("node"), "component"), "node", "left")
-        .select("id", "n", F.coalesce("component", "node").alias("component"))
-    )
+        sure = cut(sure.unionByName(_across(items, dealt.where(F.col("parts") > 1), sure, sim, bands)))
+    return texts, connected_components(sure)
 
 
-def _across(items: DataFrame, members: DataFrame, sure: DataFrame, sim: Similarity) -> DataFrame:
+def _across(items: DataFrame, members: DataFrame, sure: DataFrame, sim: Similarity, bands: Signatures | None) -> DataFrame:
     """Links between the groups found so far inside each split component."""
     found = connected_components(sure)
     grouped = cut(
@@ -277,4 +361,4 @@ def _across(items: DataFrame, members: DataFrame, sure: DataFrame, sim: Similari
     )
     cells = pairs.select(F.xxhash64("unit", "unit_b").alias("cell"), F.explode(F.array_distinct(F.array("unit", "unit_b"))).alias("unit"))
     sided = placed.select("id", "comp", "unit").join(cells, "unit").select("id", "cell", "comp")
-    return _verify(items, cut(sided), sim, with_groups=True)
+    return _verify(items, cut(sided), sim, bands, with_groups=True)

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfmark.llm.near_groups import SET_WEIGHT, Signatures, Similarity, similar_groups
+from shelfmark.llm.near_groups import Signatures, Similarity, later_members
 from shelfmark.llm.rows import placed
 from shelfmark.llm.words import LOWER, NOT_SPACE, hash_spans, mix, slices, spans, text_bytes, tidy
 from shelfmark.session import cut
@@ -95,10 +95,10 @@ def repeated_paragraphs(
     fits = (F.col("d") >= 0) & (F.col("d") < 1 << (63 - PARAGRAPH_BITS)) & (F.col("p") < top)
     key = F.when(fits, F.col("d") * top + F.col("p")).otherwise(F.raise_error(F.lit("id or line number out of range")).cast("bigint"))
     items = each.where(words >= min_words).select(key.alias("id"), "text")
-    found = similar_groups(items, Similarity(width, num, den), minhash_signatures(*tuned_bands(num / den, recall)), SET_WEIGHT)
+    found = later_members(items, Similarity(width, num, den), minhash_signatures(*tuned_bands(num / den, recall)))
     part = lambda c: (F.shiftright(c, PARAGRAPH_BITS), F.col(c).bitwiseAND(top - 1).cast("int"))
     (d, p), (fd, fp) = part("id"), part("component")
-    return found.where(F.col("id") != F.col("component")).select(
+    return found.select(
         d.alias(id_col), p.alias("paragraph"), fd.alias("first_id"), fp.alias("first_paragraph")
     ).distinct()
 
@@ -164,17 +164,21 @@ def _lists(docs: DataFrame, min_words: int = 20, width: int = 5, num: int = 80,
     gone = repeated_paragraphs(docs, min_words, width, num, den, recall, id_col, text_col)
     lines = cut(gone.groupBy(F.col(id_col).alias("_gone_id")).agg(F.sort_array(F.collect_set("paragraph")).alias("removed")))
     known = docs.select(F.col(id_col).cast("bigint").alias("d"), F.col(text_col).alias("t")).where(F.col("d").isNotNull())
-    left = known.join(placed(lines), F.col("d") == F.col("_gone_id"), "left").select("d", "t", "removed")
+    left = known.join(placed(lines, F.size("removed")), F.col("d") == F.col("_gone_id"), "left").select("d", "t", "removed")
     items = left.mapInArrow(tidy(_cut_units(width)), "id bigint, text string")
-    found = similar_groups(items, Similarity(width, num, den), minhash_signatures(*tuned_bands(num / den, recall)), SET_WEIGHT)
-    later = found.where(F.col("id") != F.col("component"))
-    units = later.groupBy(F.shiftright("id", PARAGRAPH_BITS).alias("_unit_id")).agg(
+    found = later_members(items, Similarity(width, num, den), minhash_signatures(*tuned_bands(num / den, recall)))
+    units = found.groupBy(F.shiftright("id", PARAGRAPH_BITS).alias("_unit_id")).agg(
         F.sort_array(F.collect_set(F.col("id").bitwiseAND((1 << PARAGRAPH_BITS) - 1))).alias("units")
     )
     met = lines.join(units, F.col("_gone_id") == F.col("_unit_id"), "full")
     return cut(met.select(F.coalesce("_gone_id", "_unit_id").alias("_gone_id"), "removed", "units"))
 
 
+def _entries(*lists: str) -> Column:
+    """Numbers in the lists beside an id, null ones counted as none."""
+    return sum((F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)) for c in lists), F.lit(0))
+
+
 def _passages(text: pa.Array, removed: list, units: list, min_words: int) -> list[list[dict]]:
     """Byte spans of the passages of each text: repeated units side by side, with ``min_words`` words or more."""
     out: list[list[dict]] = [[] for _ in range(len(text))]
@@ -207,7 +211,7 @@ def paragraph_removals(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.col(text_col).alias("_text"),
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(_paragraphs(F.col(text_col)))).cast("long").alias("_n"),
     )
-    met = own.join(placed(lists), F.col("_id") == F.col("_gone_id"), "left").select("_id", "_text", "_n", "removed", "units")
+    met = own.join(placed(lists, _entries("removed", "units")), F.col("_id") == F.col("_gone_id"), "left").select("_id", "_text", "_n", "removed", "units")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,7 +237,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A line of which a passage leaves only white space goes whole."""
     lists, least = _lists(docs, id_col=id_col, text_col=text_col, **how), how.get("min_words", 20)
     lists = lists.select("_gone_id", F.col("removed").alias("_gone_lines"), F.col("units").alias("_gone_units"))
-    met = docs.join(placed(lists), docs[id_col].cast("bigint") == F.col("_gone_id"), "left").select(*docs.columns, "_gone_lines", "_gone_units")
+    met = docs.join(placed(lists, _entries("_gone_lines", "_gone_units")), docs[id_col].cast("bigint") == F.col("_gone_id"), "left").select(*docs.columns, "_gone_lines", "_gone_units")
     names = docs.columns
     at = names.index(text_col)
 

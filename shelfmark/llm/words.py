@@ -133,7 +133,13 @@ def windows(h: np.ndarray, row: np.ndarray, n_rows: int, width: int) -> tuple[np
 
 def distinct(key: np.ndarray, row: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """(keys, offsets): the sorted different keys of each row, rows one after the other."""
-    order = np.lexsort((key, row))
+    # one sort by the row and the upper bits of the key; rows by both where those bits tie
+    spare = np.uint64(max(int(n_rows).bit_length(), 1))
+    both = (row.astype(np.uint64) << (np.uint64(64) - spare)) | (key >> spare)
+    order = np.argsort(both)
+    both = both[order]
+    if ((both[1:] == both[:-1]) & (key[order[1:]] != key[order[:-1]])).any():
+        order = np.lexsort((key, row))
     key, row = key[order], row[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
