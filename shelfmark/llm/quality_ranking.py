@@ -181,9 +181,11 @@ def fit_ranking(rows: DataFrame, pairs: int = 20_000, each: int = 4, rounds: int
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(standard(_matrix(batch.column(0))) @ w)], names=["s"])
+            yield pa.RecordBatch.from_arrays([pa.array(standard(_matrix(batch.column(0))) @ w), batch.column(1)], names=["s", "h"])
 
-    scores = dense_index(rows.select("f").mapInArrow(score, "s double"), ["s"], "at").cache()
+    # copies have one score: the hash lets the sort deal them out
+    scores = rows.select("f", F.xxhash64("id").alias("h")).mapInArrow(score, "s double, h long")
+    scores = dense_index(scores, ["s", "h"], "at").cache()
     spread = scores.agg(F.stddev_pop("s")).first()[0]
     bad = n - good
     ends = [r["s"] for r in scores.where(F.col("at").isin(bad - 1, min(bad, n - 1))).collect()]
