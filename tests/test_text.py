@@ -161,3 +161,13 @@ def test_timeline_with_and_without_sources_and_years(spark):
     assert [r.asDict() for r in plain] == [{"year": 2024, "Fuente Externa": 2}]
     none = timeline.timeline_long(timeline.with_year(df.where("published = '1800'")))
     assert none.count() == 0
+
+
+def test_characters_are_cut_without_a_pattern(spark):
+    texts = ["", None, "a", "aé日本😀xyz \n\r b", "😀", "ÀB", "aaaa"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (1, 2, 3):
+        got = [r[0] for r in df.select(char_ngrams("t", n)).collect()]
+        low = [(t or "").lower() for t in texts]
+        assert got == [list(dict.fromkeys(t[i : i + n] for i in range(len(t) - n + 1))) for t in low]
+    assert "regexp" not in df.select(char_ngrams("t"))._jdf.queryExecution().executedPlan().toString()
