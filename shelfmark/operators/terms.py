@@ -42,6 +42,14 @@ def cloud_tokens(df: DataFrame, col: str = "summary", stop: Sequence[str] | None
 NUMBER = r"^\p{Nd}+$"
 
 
+def _is_plural(col: str) -> Column:
+    return F.col(col).endswith("s") & ~F.col(col).endswith("ss")
+
+
+def _singular(col: str) -> Column:
+    return F.expr(f"substring({col}, 1, length({col}) - 1)")
+
+
 def _names(df: DataFrame, col: str, stop: Sequence[str], fold_plurals: bool) -> DataFrame:
     """(word, counted, n): every word but numbers, and the word it is counted under.
 
@@ -53,8 +61,7 @@ def _names(df: DataFrame, col: str, stop: Sequence[str], fold_plurals: bool) ->
     if not fold_plurals:
         return cut(words.select(F.col("term").alias("word"), F.col("term").alias("counted"), "n"))
     words = cut(words)
-    is_plural = F.col("term").endswith("s") & ~F.col("term").endswith("ss")
-    stem = F.when(is_plural, F.expr("substring(term, 1, length(term) - 1)"))
+    stem = F.when(_is_plural("term"), _singular("term"))
     singular = words.select(F.col("term").alias("counted"))
     plural = words.select("term", "n", stem.alias("stem"))
     return cut(
@@ -88,8 +95,16 @@ def _collocation_score(total: float) -> Column:
     return F.when((n <= c1) | (n <= c2), F.lit(0.0)).otherwise(-2 * ratio)
 
 
-def _word_pairs(df: DataFrame, col: str, stop: Sequence[str]) -> DataFrame:
-    """(word1, word2, n) of neighbouring words, numbers and stop words taken out first."""
+def _stem(col: str, fold_plurals: bool) -> Column:
+    """A word without its plural ending. Of all words only ``...x`` and ``...xs`` have the stem ``...x``."""
+    return F.when(_is_plural(col), _singular(col)).otherwise(F.col(col)) if fold_plurals else F.col(col)
+
+
+def _word_pairs(df: DataFrame, col: str, stop: Sequence[str], fold_plurals: bool) -> DataFrame:
+    """(word1, stem2, singular, n) of neighbouring words, numbers and stop words taken out first.
+
+    Pairs whose second words have one stem are one row; ``singular`` tells whether the stem itself occurs.
+    """
     words = F.filter(_cloud_words(col, stop), lambda w: ~w.rlike(NUMBER))
     pair = F.zip_with(
         "w", F.slice("w", F.lit(2), F.size("w")),
@@ -99,33 +114,31 @@ def _word_pairs(df: DataFrame, col: str, stop: Sequence[str]) -> DataFrame:
         df.select(words.alias("w"))
         .select(F.explode(pair).alias("p"))
         .where(F.col("p").isNotNull())
-        .groupBy("p.word1", "p.word2")
-        .agg(F.count("*").alias("n"))
+        .select("p.word1", "p.word2")
+        .select("word1", "word2", _stem("word2", fold_plurals).alias("stem2"))
+        .groupBy("word1", "stem2")
+        .agg(F.max(F.col("word2") == F.col("stem2")).alias("singular"), F.count("*").alias("n"))
     )
 
 
-def _scored_pairs(pairs: DataFrame, names: DataFrame, min_score: float) -> DataFrame:
-    single = _counted(names)
+def _scored_pairs(pairs: DataFrame, names: DataFrame, min_score: float, fold_plurals: bool) -> DataFrame:
+    single = cut(_counted(names))
     total = float(names.agg(F.sum("n")).first()[0] or 0.0)
-    sizes = names.select("word", "counted").join(
-        single.select(F.col("term").alias("counted"), F.col("n").alias("c")), "counted"
+    # a word stands in either table once, so a task builds its table from an even share of the vocabulary
+    # and the pairs, which are many more, need no sort
+    first = names.select(F.col("word").alias("word1"), F.col("counted").alias("unigram1")).join(
+        single.select(F.col("term").alias("unigram1"), F.col("n").alias("c1")), "unigram1"
     )
-    first = sizes.select(F.col("word").alias("word1"), F.col("counted").alias("unigram1"), F.col("c").alias("c1"))
-    second = sizes.select(F.col("word").alias("word2"), F.col("counted").alias("unigram2"), F.col("c").alias("c2"))
-    # a plural second word joins the pair with the singular where that pair occurs; at most
-    # these two words are counted under one
-    folded = (
-        pairs.join(second, "word2")
-        .groupBy("word1", "unigram2")
-        .agg(
-            F.max(F.when(F.col("word2") == F.col("unigram2"), F.col("word2"))).alias("singular"),
-            F.max("word2").alias("any_form"),
-            F.sum("n").alias("n"),
-            F.max("c2").alias("c2"),
-        )
-        .select("word1", F.coalesce("singular", "any_form").alias("word2"), "unigram2", "n", "c2")
+    # ...xs counts under ...x where both occur, so a stem has one word to count under
+    second = single.select(
+        _stem("term", fold_plurals).alias("stem2"), F.col("term").alias("unigram2"), F.col("n").alias("c2")
+    )
+    # a plural second word joins the pair with the singular where that pair occurs
+    folded = pairs.join(second.hint("shuffle_hash"), "stem2").select(
+        "word1", F.when(F.col("singular"), F.col("stem2")).otherwise(F.concat("stem2", F.lit("s"))).alias("word2"),
+        "unigram2", "n", "c2",
     )
-    scored = folded.join(first, "word1").withColumn("score", _collocation_score(total))
+    scored = folded.join(first.hint("shuffle_hash"), "word1").withColumn("score", _collocation_score(total))
     return scored.where(F.col("score") > min_score).select(
         "word1", "word2", "unigram1", "unigram2", "n", "score"
     )
@@ -144,7 +157,7 @@ def collocations(
     Words are neighbours within one document (deviation: no pair spans two documents).
     """
     stop = cloud_stop_words() if stop is None else stop
-    return _scored_pairs(_word_pairs(df, col, stop), _names(df, col, stop, fold_plurals), min_score)
+    return _scored_pairs(_word_pairs(df, col, stop, fold_plurals), _names(df, col, stop, fold_plurals), min_score, fold_plurals)
 
 
 def cloud_weights(
@@ -166,7 +179,7 @@ def cloud_weights(
     names = _names(df, col, stop, fold_plurals)
     counts = _counted(names)
     if with_collocations:
-        pairs = cut(_scored_pairs(_word_pairs(df, col, stop), names, min_score))
+        pairs = cut(_scored_pairs(_word_pairs(df, col, stop, fold_plurals), names, min_score, fold_plurals))
         taken = pairs.select(
             F.explode(F.array("unigram1", "unigram2")).alias("term"), (-F.col("n")).alias("n")
         )
